@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stratalog.llm import mixing, sharding, url_filter
+from stratalog.llm import embeddings, mixing, pieces, quality, sharding, simhash, url_filter, warc
 from stratalog.llm.scratch import Scratch
 
 QUERIES, SQL = {}, {}
@@ -54,3 +54,44 @@ coalesce((SELECT max_by(v, length(h || q)) FROM r WHERE (host = h OR ends_with(h
 def op8_url_filter(spark, sf_dir):
     rules = url_filter.rule_table(spark, url_filter.RULES)
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_simhash")
+def op3_simhash(spark, sf_dir):
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_quality")
+def op9_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "held_out", "score", "predicted")
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(sha, i, 1)) - 1), 4, '0')), '') AS bits, min(page_id) OVER (PARTITION BY sha) AS head FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, i * 5 + 1, 1)::INT + 8 * substr(bits, i * 5 + 2, 1)::INT + 4 * substr(bits, i * 5 + 3, 1)::INT + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT, 1)), '') AS payload_digest,
+CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM b"""
+
+
+@query("op1_warc", WARC_SQL)
+def op1_warc(spark, sf_dir):
+    index, folder = warc.archive(_table(spark, sf_dir, "pages"), Scratch(spark))
+    return warc.read(index, folder, "long").drop("payload")
+
+
+@query("op4_pieces")
+def op4_pieces(spark, sf_dir):
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
+EMBEDDING_SQL = """WITH RECURSIVE g AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id <= coalesce(c.least, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+
+@query("op2_embeddings", EMBEDDING_SQL)
+def op2_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), Scratch(spark))

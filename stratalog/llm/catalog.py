@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stratalog.llm import embeddings, mixing, pieces, quality, sharding, simhash, url_filter, warc
+from stratalog.llm import embeddings, media, mixing, pieces, quality, sharding, simhash, substrings, url_filter, warc
 from stratalog.llm.scratch import Scratch
 
 QUERIES, SQL = {}, {}
@@ -95,3 +95,14 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.lea
 @query("op2_embeddings", EMBEDDING_SQL)
 def op2_embeddings(spark, sf_dir):
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+@query("op6_media")
+def op6_media(spark, sf_dir):
+    return media.media_features(_table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+@query("op10_substrings")
+def op10_substrings(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.deduplicate(docs, Scratch(spark)).select("doc_id", "n_words", "n_removed", "kept_sha256")

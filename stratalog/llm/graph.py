@@ -29,18 +29,19 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether every node has one edge to a root, and no root has one: stars are the only trees left."""
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    ends = e.select(F.col("a").alias("node"), one.alias("up"), none.alias("down")).unionByName(e.select(F.col("b").alias("node"), none.alias("up"), one.alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) edges of any orderable type to (node, root): root is the least node reached. Nodes that are their own root aren't listed. Loops and repeated edges do no harm.
 
-    Each round is written to the shared folder, so a lost executor costs a task and no round. Rounds end when the edges, compared by count and hash sum, stay as they are, which is when every edge joins a node to its root.
+    Each round is written to the shared folder, so a lost executor costs a task and no round. A round keeps components and moves nodes only to smaller ones, so rounds end, and they do when all trees are stars.
     """
     e = scratch.save(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    last = mark(e)
-    while last[0]:
+    while not _settled(e):
         e = scratch.save(_small_star(_large_star(e)), "stars")
-        now = mark(e)
-        if now == last:
-            break
-        last = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

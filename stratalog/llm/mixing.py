@@ -24,11 +24,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.max("level").over(whole) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, scratch: Scratch, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] = ()) -> DataFrame:
-    """(key, source, the columns in keep, size, source_size, target, copies) for every row; a document enters the mix `copies` times.
-
-    Each row expects target / source_size copies. Within a source the rows stand by size and then by a seeded hash; the running sum of expectations starts at one random offset a source, and a row is emitted once for each whole number that its step crosses. Neighbours have like sizes, so a source's words come near its target. No row has more than 3 copies. Null texts have no words; null sources are one source; ties and repeated rows are interchangeable; the result depends on the seed and the rows only. An empty table gives no rows. Sources of no words get no copies.
-    """
+def _decide(docs: DataFrame, scratch: Scratch, seed: int, key: str, text: str, source: str, keep: list[str]) -> DataFrame:
+    """_k, _s, _size, source_size, target and copies of each row, and each column in keep with the prefix _keep_."""
     tag = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), count_words(F.col(text)).alias("_size"), tag.alias("_tag"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     if not keep:  # a narrow table, so that the range sort's sample doesn't count the words once more
@@ -39,4 +36,20 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 7, key: str = "doc_id", t
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("_s", F.lit("")))), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
     copies = F.floor((F.col("rank") + 1) * rate + start) - F.floor(F.col("rank") * rate + start)
-    return rows.select(F.col("_k").alias(key), F.col("_s").alias(source), *(F.col(f"_keep_{c}").alias(c) for c in keep if c not in (key, source)), F.col("_size").alias("size"), "source_size", "target", F.least(copies, F.lit(MOST)).cast("bigint").alias("copies"))
+    return rows.withColumn("copies", F.least(copies, F.lit(MOST)).cast("bigint"))
+
+
+def mix(docs: DataFrame, scratch: Scratch, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(key, source, size, source_size, target, copies) for every row; a document enters the mix `copies` times.
+
+    Each row expects target / source_size copies. Within a source the rows stand by size and then by a seeded hash; the running sum of expectations starts at one random offset a source, and a row is emitted once for each whole number that its step crosses. Neighbours have like sizes, so a source's words come near its target. No row has more than 3 copies. Null texts have no words; null sources are one source; ties and repeated rows are interchangeable; the result depends on the seed and the rows only. An empty table gives no rows. Sources of no words get no copies. Other columns aren't read.
+    """
+    rows = _decide(docs, scratch, seed, key, text, source, [])
+    return rows.select(F.col("_k").alias(key), F.col("_s").alias(source), F.col("_size").alias("size"), "source_size", "target", "copies")
+
+
+def emit(docs: DataFrame, scratch: Scratch, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, `copies` times."""
+    rows = _decide(docs, scratch, seed, key, text, source, docs.columns).where("copies > 0")
+    row = F.struct(*(F.col(f"_keep_{c}").alias(c) for c in docs.columns))
+    return rows.select(F.explode(F.array_repeat(row, F.col("copies").cast("int"))).alias("row")).select("row.*")

@@ -163,3 +163,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, k
     model = fit(docs, labels, key, text)
     out = score(docs.drop("score", "held_out", "predicted"), model, text)
     return out.withColumns({"held_out": fold(F.col(key)) == HELD_OUT, "predicted": F.when(F.col("score") >= threshold, 1).otherwise(0)})
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that score `threshold` or more, as they are."""
+    bare = docs.select(F.col(text).alias("t"), F.struct(*docs.columns).alias("row"))
+    return score(bare, fit(docs, labels, key, text), "t").where(F.col("score") >= threshold).select("row.*")

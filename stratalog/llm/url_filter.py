@@ -42,6 +42,6 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     asked = places.select("host", "path", F.explode(F.transform(wanted, lambda e: F.sha2(e.cast("binary"), 256))).alias("digest"))
     known = rules.withColumn("rule", F.concat("rule_host", "rule_path")).withColumn("rule_digest", F.sha2(F.col("rule").cast("binary"), 256))
     hits = asked.withColumn("short", F.substring("digest", 1, SHORT)).join(known.withColumn("short", F.substring("rule_digest", 1, SHORT)), "short").where(F.col("digest") == F.col("rule_digest"))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("a"), F.length("rule_host").alias("b"), "rule", "rule_verdict")).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("a"), F.length("rule_host").alias("b"), "rule", "rule_verdict")).alias("_best"))
     out = parsed.join(best, ["host", "path"], "left")
-    return out.select(*(c for c in parsed.columns), F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    return out.select(*(c for c in parsed.columns), F.col("_best.rule").alias("rule"), F.coalesce("_best.rule_verdict", F.lit(default)).alias("verdict"))

@@ -20,6 +20,8 @@ from stratalog.llm.scratch import Scratch
 FILE_BYTES = 256 << 20
 #: Ranges this near to each other are read at once, up to so many bytes (or one record, if it is larger).
 GAP, SPAN = 64 << 10, 8 << 20
+#: Archive bytes that a reading task gets.
+TASK_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id {key}, file string, offset long, length long, url string, payload_digest string, record_type string, refers_to {key}"
@@ -175,7 +177,9 @@ def read(selected: DataFrame, folder: str, key_type: str, with_payload: bool = F
                 kinds = [kind, pa.int64(), pa.string(), pa.string(), kind, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    ordered = selected.select("file", "offset", "length", "payload_digest", "page_id").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ordered = selected.select("file", "offset", "length", "payload_digest", "page_id").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, f"page_id {key_type}, payload_bytes long, payload_digest string, record_type string, refers_to {key_type}, payload binary")
 
 

@@ -92,17 +92,19 @@ def test_targets(spark, sizes):
 def test_mixing_edges(spark):
     data = [(k, "word " * (k % 7), "x", ["a", "b", None][k % 3], 0) for k in range(300)] + [(None, None, None, None, None)] * 3 + [(1, "same text", "x", "hot", 9)] * 100
     docs = spark.createDataFrame(data, DOCS).withColumn("size", F.lit("clash")).withColumn("target", F.lit(1)).withColumn("rank", F.lit(5))
-    rows = mixing.mix(docs, Scratch(spark), keep=["text", "lang"]).collect()
+    rows = mixing.mix(docs, Scratch(spark)).collect()
     assert len(rows) == 403 and all(0 <= r["copies"] <= 3 for r in rows)
     for s in ("a", "b", None, "hot"):
         own = [r for r in rows if r["source"] == s]
         assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 20
     assert mixing.mix(docs.limit(0), Scratch(spark)).count() == 0
+    emitted = mixing.emit(docs, Scratch(spark))
+    assert emitted.columns == docs.columns and emitted.count() == sum(r["copies"] for r in rows) and {r["size"] for r in emitted.collect()} == {"clash"}
 
 
 def test_url_edges(spark):
     urls = ["http://A.Net", "http://a.net/", "net://net/x", "x://y://z.example.net/en/a?b#c", "http://example.net/en", "https://EXAMPLE.com/de/?", "http://notexample.com/de/", "http://org/fr/", "nothing", "", None, "http://?q", "http://é.net/ü/", "a.net/b://c.org/fr/x", "http://a.net." + "x" * 5000 + ".net/" + "y/" * 3000]
-    pages = spark.createDataFrame([(k, u, "host", "r") for k, u in enumerate(urls)] + [(0, urls[0], "h", "r")], "page_id long, url string, host string, digest string")
+    pages = spark.createDataFrame([(k, u, "host", "r") for k, u in enumerate(urls)] + [(0, urls[0], "h", "r")], "page_id long, url string, host string, digest string").withColumns({"best": F.lit(1), "short": F.lit("x")})
     got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES)).collect()}
     want = {0: ("a.net", None, "allow"), 1: ("a.net", "net/", "block"), 2: ("net", "net/", "block"), 3: ("y:", None, "allow"), 4: ("example.net", "net/", "block"), 5: ("example.com", "example.com/de/", "block"), 6: ("notexample.com", None, "allow"), 7: ("org", "org/fr/", "allow"), 8: ("", None, "allow"), 9: ("", None, "allow"), 10: ("", None, "allow"), 11: ("", None, "allow"), 12: ("é.net", "net/", "block"), 13: ("c.org", "org/fr/", "allow")}
     assert {k: v for k, v in got.items() if k in want} == want and got[14][1:] == ("net/", "block")

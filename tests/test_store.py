@@ -184,3 +184,15 @@ def test_feed_streams_committed_batches(spark, store):
 
 def test_benchmark_summary():
     assert benchmark_summary(100, 0, 500.0) == {"ops_per_s": 200, "avg_ms": 5.0, "errors": 0}
+
+
+def test_command_line(store):
+    from stratalog.__main__ import parser, run
+
+    say = lambda *a: run(store, parser().parse_args(a))
+    assert say("put", "user:1", "alice") == "OK" and say("get", "user:1") == "alice" and say("get", "user:2") == "(not found)"
+    assert say("scan", "--prefix", "user:") == "user:1=alice" and say("scan", "--limit", "0") == ""
+    assert say("flush") == "flushed: true\nlayer_id: 1\nentries: 1" and say("delete", "user:1") == "OK"
+    assert "dropped_entries: 2" in say("compact") and "memtable_entries: 0" in say("stats")
+    with pytest.raises(InvalidInput):
+        say("put", "", "x")

@@ -4,8 +4,14 @@ from pyspark.sql import types as T
 
 PUT, DELETE = 1, 2
 
-LOG = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("op", T.ByteType(), False), T.StructField("key", T.StringType(), False), T.StructField("value", T.StringType())])
-LAYER = T.StructType([*LOG.fields, T.StructField("layer", T.LongType(), False)])
+def log_schema(kind: str = "string") -> T.StructType:
+    """Records with text or binary keys and values."""
+    return T.StructType.fromDDL(f"seq BIGINT NOT NULL, op TINYINT NOT NULL, key {kind} NOT NULL, value {kind}")
+
+
+def layer_schema(kind: str = "string") -> T.StructType:
+    return log_schema(kind).add("layer", T.LongType(), False)
+
 
 #: The flush threshold in bytes, and the largest log record that recovery accepts.
 FLUSH_BYTES = 64 * 1024 * 1024

@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 from stratalog.errors import Conflict, CorruptLayer, InvalidInput
 from stratalog.functions.keys import valid
 from stratalog.operators import merge, read, stats
-from stratalog.schema import DELETE, FLUSH_BYTES, LAYER, MAX_RECORD_BYTES, PUT
+from stratalog.schema import DELETE, FLUSH_BYTES, MAX_RECORD_BYTES, PUT, layer_schema
 
 EMPTY = {"version": 0, "seq": 0, "next_layer": 1, "batches": [], "layers": []}
 
 
 class Store:
-    """get, scan, put, delete, flush, compact and stats over one folder on any file system that Spark reaches."""
+    """get, scan, put, delete, flush, compact and stats over one folder on any file system that Spark reaches.
 
-    def __init__(self, spark: SparkSession, root: str, flush_bytes: int = FLUSH_BYTES):
-        self.spark, self.root, self.flush_bytes = spark, root.rstrip("/"), flush_bytes
+    Keys and values are text, or bytes where `kind` is "binary"; both order by unsigned bytes.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, flush_bytes: int = FLUSH_BYTES, kind: str = "string"):
+        if kind not in ("string", "binary"):
+            raise InvalidInput(f"keys are string or binary, not {kind!r}")
+        self.spark, self.root, self.flush_bytes, self.kind = spark, root.rstrip("/"), flush_bytes, kind
+        self.schema = layer_schema(kind)
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -61,15 +67,15 @@ class Store:
 
     def _read(self, parts: list[dict]) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], LAYER)
-        frames = [self.spark.read.schema(LAYER).parquet(f"{self.root}/{p['path']}") for p in parts]
+            return self.spark.createDataFrame([], self.schema)
+        frames = [self.spark.read.schema(self.schema).parquet(f"{self.root}/{p['path']}") for p in parts]
         return merge.union_layers(*frames)
 
     # writes
     def apply(self, changes: DataFrame) -> int:
         """Commit (op, key, value) rows, ordered by `seq`, as one batch; returns their number. All or none become visible."""
         old = self.manifest()
-        numbered = changes.select((F.col("seq") + F.lit(old["seq"])).cast("bigint").alias("seq"), F.col("op").cast("tinyint").alias("op"), "key", F.when(F.col("op") == PUT, F.coalesce("value", F.lit(""))).alias("value"), F.lit(old["next_layer"]).cast("bigint").alias("layer"))
+        numbered = changes.select((F.col("seq") + F.lit(old["seq"])).cast("bigint").alias("seq"), F.col("op").cast("tinyint").alias("op"), "key", F.when(F.col("op") == PUT, F.coalesce("value", F.lit("").cast(self.kind))).alias("value"), F.lit(old["next_layer"]).cast("bigint").alias("layer"))
         size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 9
         bad = numbered.agg(F.count("*"), F.count_if(~valid(F.col("key"))), F.count_if(size > MAX_RECORD_BYTES), F.max("seq"), F.count_if(~F.col("op").isin(PUT, DELETE) | F.col("op").isNull())).first()
         if bad[1]:
@@ -84,11 +90,15 @@ class Store:
             self.flush()
         return bad[0]
 
-    def put(self, key: str, value: str) -> None:
-        self.apply(self.spark.createDataFrame([(1, PUT, key, value)], "seq long, op int, key string, value string"))
+    def put(self, key: str | bytes, value: str | bytes) -> None:
+        self._one(PUT, key, value)
+
+    def delete(self, key: str | bytes) -> None:
+        self._one(DELETE, key, None)
 
-    def delete(self, key: str) -> None:
-        self.apply(self.spark.createDataFrame([(1, DELETE, key, None)], "seq long, op int, key string, value string"))
+    def _one(self, op: int, key: str | bytes, value: str | bytes | None) -> None:
+        raw = lambda x: bytearray(x) if isinstance(x, bytes) else x
+        self.apply(self.spark.createDataFrame([(1, op, raw(key), raw(value))], f"seq long, op int, key {self.kind}, value {self.kind}"))
 
     def flush(self) -> dict:
         """The MemTable as a new layer, sorted by key; tombstones stay, because older layers may hold what they hide."""
@@ -104,7 +114,8 @@ class Store:
     def _layer(self, records: DataFrame, layer: int) -> dict:
         name = self._write(records.repartitionByRange("key").sortWithinPartitions("key"), "layers")
         meta = stats.layer_metadata(self._read([{"path": name}])).first()
-        return {"path": name, "layer": layer} | ({"entry_count": meta["entry_count"], "smallest_key": meta["smallest_key"], "largest_key": meta["largest_key"]} if meta else {"entry_count": 0})
+        octets = lambda k: k.encode() if isinstance(k, str) else bytes(k)
+        return {"path": name, "layer": layer} | ({"entry_count": meta["entry_count"], "smallest_hex": octets(meta["smallest_key"]).hex(), "largest_hex": octets(meta["largest_key"]).hex()} if meta else {"entry_count": 0})
 
     def compact(self) -> dict:
         flushed = self.flush()["flushed"]
@@ -121,23 +132,28 @@ class Store:
         return report | {"dropped_entries": max(0, report["input_entries"] - report["output_entries"])}
 
     # reads
-    def changelog(self, key: str | None = None, prefix: str | None = None) -> DataFrame:
+    def changelog(self, key: str | bytes | None = None, prefix: str | bytes | None = None) -> DataFrame:
         """All versions that can matter; layers whose key range can't hold the key or prefix aren't read."""
         m = self.manifest()
+        octets = lambda x: x.encode() if isinstance(x, str) else bytes(x or b"")
 
         def wanted(p: dict) -> bool:
+            small, large = bytes.fromhex(p["smallest_hex"]), bytes.fromhex(p["largest_hex"])
             if key is not None:
-                return p["smallest_key"].encode() <= key.encode() <= p["largest_key"].encode()
-            low = (prefix or "").encode()
-            return p["largest_key"].encode() >= low and (p["smallest_key"].encode() <= low or p["smallest_key"].encode().startswith(low))
+                return small <= octets(key) <= large
+            low = octets(prefix)
+            return large >= low and (small <= low or small.startswith(low))
 
         return self._read([*(p for p in m["layers"] if wanted(p)), *m["batches"]])
 
-    def get(self, key: str) -> str | None:
+    def get(self, key: str | bytes) -> str | bytes | None:
         row = read.get(self.changelog(key=key) if key else self.changelog(), key).first()
-        return row["value"] if row["found"] else None
+        value = row["value"] if row["found"] else None
+        return bytes(value) if isinstance(value, bytearray) else value
 
-    def scan(self, prefix: str = "", limit: int | None = None, surface: str = "engine") -> DataFrame:
+    def scan(self, prefix: str | bytes = "", limit: int | None = None, surface: str = "engine") -> DataFrame:
+        if self.kind == "binary" and isinstance(prefix, str):
+            prefix = prefix.encode()
         return read.scan(self.changelog(prefix=prefix), prefix, limit, surface)
 
     def memtable(self) -> DataFrame:
@@ -152,4 +168,4 @@ class Store:
 
     def feed(self) -> DataFrame:
         """Committed changes as a stream of new log batches: what Structured Streaming sees of the log folder."""
-        return self.spark.readStream.schema(LAYER).option("recursiveFileLookup", "true").parquet(f"{self.root}/log")
+        return self.spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/log")

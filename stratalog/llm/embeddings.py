@@ -1,6 +1,6 @@
 """Near-duplicate vectors by an inverted multi-index over two halves.
 
-Each half of the dimensions has its own codebook; a vector's cell is the pair of its nearest codewords. For a query, every codeword of a half has a distance: how far the query must at least move before that codeword is its nearest, which is its distance from the plane between that codeword and its own. A link's ends differ by at most r = sqrt(2 - 2 cos), so its two distances' squares add up to at most r^2. The multi-sequence traversal takes cells in the order of that sum and stops beyond r^2 times `reach`: at 1 every link is in a visited cell, and less trades recall for work. What shares a cell is verified in double precision.
+Each half of the dimensions has its own codebook; a vector's cell is the pair of its nearest codewords. For a query, every codeword of a half has a distance: how far the query must at least move before that codeword is its nearest, which is its distance from the plane between that codeword and its own. A link's ends differ by at most r = sqrt(2 - 2 cos), so its two distances' squares add up to at most r^2. The multi-sequence traversal takes cells in the order of that sum and stops beyond r^2 times `reach`. At 1 every link is in a visited cell, but most cells are visited. So reach is measured: a bounded set of queries is compared with all rows, and the traversal goes as far as its target recall of their links needs, times a margin. What shares a cell is verified in double precision.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ COSINE = 0.9
 #: Bounds of the codebooks: vectors they are fitted on (by least hash) and codewords a half.
 SAMPLE, CODEWORDS = 20_000, 1024
 PER_CELL = 16
+#: Queries compared with all rows to measure reach, the share of links that it must find, what it is multiplied by then, and its least value.
+QUERIES, TARGET, MARGIN, LEAST_REACH = 1000, 0.995, 4, 0.025
+BINS = 1000
 ROUNDS = 8
 #: Vectors of a cell, and queries that visit it, in one block.
 INDEX_BLOCK, QUERY_BLOCK = 512, 1024
@@ -78,6 +81,34 @@ def _matrix(column, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def measured_reach(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, cosine: float, cids: np.ndarray, x: np.ndarray) -> float:
+    """The reach at which the queries x (of class ids cids) find the target share of their links, as a mean over queries and over links, with its margin."""
+    half, limit = dim // 2, 2 - 2 * cosine
+    h1, h2 = margins(x[:, :half], books[0])[1], margins(x[:, half:], books[1])[1]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                y, own = _matrix(part.column(1), dim), part.column(0).to_numpy()
+                q, r = np.nonzero((x @ y.T >= cosine) & (cids[:, None] != own[None, :]))
+                i, j = margins(y[r, :half], books[0])[0], margins(y[r, half:], books[1])[0]
+                bins = np.minimum(BINS, np.ceil((h1[q, i] + h2[q, j]) / limit * BINS)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(bins)], ["q", "bin"])
+
+    found = classes.select("cid", "v").mapInArrow(run, "q long, bin long").groupBy("q", "bin").count().collect()
+    if not found:
+        return LEAST_REACH
+    seen = np.zeros((len(x), BINS + 1))
+    for r in found:
+        seen[r["q"], r["bin"]] += r["count"]
+    seen = seen[seen.sum(1) > 0].cumsum(axis=1)
+    enough = np.minimum((seen / seen[:, -1:]).mean(axis=0), seen.sum(axis=0) / seen[:, -1].sum()) >= TARGET
+    return float(min(1.0, max(LEAST_REACH, MARGIN * enough.argmax() / BINS)))
+
+
 def _cells(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, stop: float) -> DataFrame:
     def run(batches):
         import pyarrow as pa
@@ -121,7 +152,7 @@ def _verify(blocks: DataFrame, dim: int, cosine: float) -> DataFrame:
     return blocks.groupBy("cell", "bi", "bq").applyInArrow(run, "cid long, links long, root long")
 
 
-def near_vectors(rows: DataFrame, scratch: Scratch, cosine: float = COSINE, reach: float = 1.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_vectors(rows: DataFrame, scratch: Scratch, cosine: float = COSINE, reach: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
     Vectors that are null, zero, hold null or non-finite components, or aren't of the commonest length (of equals the shortest) link with nothing. Equal vectors are one class with a count: they link with each other and share their links, at the cost of one. component_id is the least key reachable; null keys give it only where there is no other. Repeated rows count as vectors of their own. An empty table gives no rows. Other columns aren't read.
@@ -142,10 +173,12 @@ def near_vectors(rows: DataFrame, scratch: Scratch, cosine: float = COSINE, reac
     if not dim:
         return lone
     classes = scratch.save(linked.groupBy("v").agg(F.count("*").alias("n"), F.min("k").alias("head")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    sample = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("v").toArrow()
+    sample = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow()
     x = _matrix(sample["v"].combine_chunks(), dim)
     k = int(min(CODEWORDS, max(4, np.ceil(np.sqrt(classes.count() / PER_CELL))), len(x)))
     books = (kmeans(x[:, : dim // 2], k), kmeans(x[:, dim // 2 :], k))
+    if reach is None:
+        reach = measured_reach(classes, books, dim, cosine, sample["cid"].to_numpy()[:QUERIES], x[:QUERIES])
     placed = scratch.save(_cells(classes, books, dim, (2 - 2 * cosine) * reach + 1e-9), "cells")
 
     visits = placed.select("cid", "v", "n", F.explode("visits").alias("cell"))

@@ -13,12 +13,14 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.scratch import prepare
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bounds of what an encoder remembers: chunks, their length, and pairs.
-CHUNKS, CHUNK_CHARS, PAIRS = 400_000, 48, 2_000_000
+CHUNKS, CHUNK_CHARS, PAIRS = 200_000, 48, 500_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -94,6 +96,10 @@ class Pieces:
         self._chunks: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Drop the remembered chunks."""
+        self._chunks.clear()
+
     # encoding
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -261,13 +267,15 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str =
         import pyarrow as pa
 
         pieces = load(data)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                texts = [x.decode("utf-8", "replace") if x else "" for x in part.column(1).to_pylist()]
+        try:
+            for b in batches:
+                texts = [x.decode("utf-8", "replace") if x else "" for x in b.column(1).to_pylist()]
                 ids = [pieces.encode(t) for t in texts]
                 same = [pieces.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["k", "n_tokens", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["k", "n_tokens", "ids", "round_trip"])
+        finally:  # the worker lives on, for other operators too
+            pieces.forget()
 
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     return rows.mapInArrow(run, f"k {dict(docs.dtypes)[key]}, n_tokens long, ids array<int>, round_trip boolean").withColumnRenamed("k", key)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.scratch import prepare
+
 HASH_BITS = 18
 BUCKETS = 1 << HASH_BITS
 DIM = 8
@@ -146,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with a column `score`, from 0 to 1: how likely label 1 is, from the whole text alone."""
     weights, bias = model.weights, model.bias
+    prepare(docs.sparkSession)
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:

@@ -16,11 +16,29 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows and bytes of a batch that goes to Python at once. Texts have no bound, and Spark's own limit of 10,000 rows does.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to sizes fit for whole texts, unless they are smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key, str(most + 1)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def prepare(spark: SparkSession) -> None:
+    """What any operator with Python code on executors needs of a session."""
+    bounded_batches(spark)
+
+
 class Scratch:
     """One folder of written tables. A written table is read again after the loss of any executor, and cuts the lineage."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        prepare(spark)
         self.path = f"{shared_root(spark)}/scratch-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:

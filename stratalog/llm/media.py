@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm import jpeg
-from stratalog.llm.scratch import Scratch
+from stratalog.llm.scratch import Scratch, prepare
 
 BLOCK = 64
 
@@ -31,6 +31,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 raw = [x or b"" for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([jpeg.store(padded(x)) for x in raw], pa.binary())], ["k", "n_bytes", "media"])
 
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     return rows.mapInArrow(run, f"k {dict(docs.dtypes)[key]}, n_bytes long, media binary").withColumnRenamed("k", key)
 

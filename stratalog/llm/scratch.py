@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +36,24 @@ def bounded_batches(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> None:
     """What any operator with Python code on executors needs of a session."""
     bounded_batches(spark)
+    ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package as a file of the session, once, unless PYTHONPATH has it for them too."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    folder = tempfile.mkdtemp()  # the driver's file server reads it until the session ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/stratalog.zip", "w") as z:
+        for p in sorted((root / "stratalog").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(f"{folder}/stratalog.zip")
 
 
 class Scratch:

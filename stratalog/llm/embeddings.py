@@ -1,6 +1,6 @@
 """Near-duplicate vectors by an inverted multi-index over two halves.
 
-Each half of the dimensions has its own codebook; a vector's cell is the pair of its nearest codewords. For a query, every codeword of a half has a distance: how far the query must at least move before that codeword is its nearest, which is its distance from the plane between that codeword and its own. A link's ends differ by at most r = sqrt(2 - 2 cos), so its two distances' squares add up to at most r^2. The multi-sequence traversal takes cells in the order of that sum and stops beyond r^2 times `reach`. At 1 every link is in a visited cell, but most cells are visited. So reach is measured: a bounded set of queries is compared with all rows, and the traversal goes as far as its target recall of their links needs, times a margin. What shares a cell is verified in double precision.
+Each half of the dimensions has its own codebook; a vector's cell is the pair of its nearest codewords. For a query, every codeword of a half has a distance: how far the query must at least move before that codeword is its nearest, which is its distance from the plane between that codeword and its own. A link's ends differ by at most r = sqrt(2 - 2 cos), so its two distances' squares add up to at most r^2. The multi-sequence traversal takes cells in the order of that sum and stops beyond r^2 times `reach`. At 1 every link is in a visited cell, but most cells are visited. So reach is measured: blocks of queries are compared with all rows until enough of them are linked, and the traversal goes as far as its target recall of their links needs, times a margin. Where links are too rare to measure that, reach is 1, and cells are as large as a block. What shares a cell is verified in double precision.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ COSINE = 0.9
 #: Bounds of the codebooks: vectors they are fitted on (by least hash) and codewords a half.
 SAMPLE, CODEWORDS = 20_000, 1024
 PER_CELL = 16
-#: Queries compared with all rows to measure reach, the share of links that it must find, what it is multiplied by then, and its least value.
+#: Queries compared with all rows at once to measure reach, the share of links that it must find, what it is multiplied by then, and its least value.
 QUERIES, TARGET, MARGIN, LEAST_REACH = 1000, 0.995, 4, 0.025
+#: Linked queries without which nothing is measured (of fewer, one would be more than what the target leaves out), and most blocks of queries.
+LINKED, QUERY_BLOCKS = 200, 10
 BINS = 1000
 ROUNDS = 8
 #: Vectors of a cell, and queries that visit it, in one block.
@@ -81,8 +83,8 @@ def _matrix(column, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def measured_reach(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, cosine: float, cids: np.ndarray, x: np.ndarray) -> float:
-    """The reach at which the queries x (of class ids cids) find the target share of their links, as a mean over queries and over links, with its margin."""
+def _link_bins(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, cosine: float, cids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each of the queries x (of class ids cids) that has links, how many of them each bin of reach finds."""
     half, limit = dim // 2, 2 - 2 * cosine
     h1, h2 = margins(x[:, :half], books[0])[1], margins(x[:, half:], books[1])[1]
 
@@ -98,13 +100,22 @@ def measured_reach(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dim
                 bins = np.minimum(BINS, np.ceil((h1[q, i] + h2[q, j]) / limit * BINS)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(bins)], ["q", "bin"])
 
-    found = classes.select("cid", "v").mapInArrow(run, "q long, bin long").groupBy("q", "bin").count().collect()
-    if not found:
-        return LEAST_REACH
     seen = np.zeros((len(x), BINS + 1))
-    for r in found:
+    for r in classes.select("cid", "v").mapInArrow(run, "q long, bin long").groupBy("q", "bin").count().collect():
         seen[r["q"], r["bin"]] += r["count"]
-    seen = seen[seen.sum(1) > 0].cumsum(axis=1)
+    return seen[seen.sum(1) > 0]
+
+
+def measured_reach(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, cosine: float, cids: np.ndarray, x: np.ndarray) -> float:
+    """The reach at which the queries x (of class ids cids), taken in blocks until enough are linked, find the target share of their links, as a mean over queries and over links, with its margin. 1 if too few are linked."""
+    seen = np.zeros((0, BINS + 1))
+    for at in range(0, min(len(x), QUERIES * QUERY_BLOCKS), QUERIES):
+        seen = np.concatenate((seen, _link_bins(classes, books, dim, cosine, cids[at : at + QUERIES], x[at : at + QUERIES])))
+        if len(seen) >= LINKED:
+            break
+    else:
+        return 1.0
+    seen = seen.cumsum(axis=1)
     enough = np.minimum((seen / seen[:, -1:]).mean(axis=0), seen.sum(axis=0) / seen[:, -1].sum()) >= TARGET
     return float(min(1.0, max(LEAST_REACH, MARGIN * enough.argmax() / BINS)))
 
@@ -175,10 +186,17 @@ def near_vectors(rows: DataFrame, scratch: Scratch, cosine: float = COSINE, reac
     classes = scratch.save(linked.groupBy("v").agg(F.count("*").alias("n"), F.min("k").alias("head")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     sample = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow()
     x = _matrix(sample["v"].combine_chunks(), dim)
-    k = int(min(CODEWORDS, max(4, np.ceil(np.sqrt(classes.count() / PER_CELL))), len(x)))
-    books = (kmeans(x[:, : dim // 2], k), kmeans(x[:, dim // 2 :], k))
+    n = classes.count()
+
+    def codebooks(per_cell):
+        k = int(min(CODEWORDS, max(4, np.ceil(np.sqrt(n / per_cell))), len(x)))
+        return kmeans(x[:, : dim // 2], k), kmeans(x[:, dim // 2 :], k)
+
+    books = codebooks(PER_CELL)
     if reach is None:
-        reach = measured_reach(classes, books, dim, cosine, sample["cid"].to_numpy()[:QUERIES], x[:QUERIES])
+        reach = measured_reach(classes, books, dim, cosine, sample["cid"].to_numpy(), x)
+    if reach >= 1:  # most cells are visited, so small ones would only multiply the rows
+        books = codebooks(INDEX_BLOCK)
     placed = scratch.save(_cells(classes, books, dim, (2 - 2 * cosine) * reach + 1e-9), "cells")
 
     visits = placed.select("cid", "v", "n", F.explode("visits").alias("cell"))

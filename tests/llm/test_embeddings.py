@@ -70,3 +70,19 @@ def test_multi_sequence_is_in_order():
     a, b = [0.0, 0.1, 0.5], [0.0, 0.2, 0.3, 0.9]
     got = [a[i] + b[j] for i, j in embeddings.multi_sequence(a, b, 0.65)]
     assert got == sorted(got) == sorted(x + y for x in a for y in b if x + y <= 0.65)
+
+
+def test_rare_links_near_the_threshold_are_found(spark, monkeypatch):
+    """As in a table of a million: few of the vectors that are asked have links, and a half has many codewords."""
+    monkeypatch.setattr(embeddings, "QUERIES", 1)
+    monkeypatch.setattr(embeddings, "PER_CELL", 1)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(60, 64))
+    side -= (side * x[:60]).sum(1)[:, None] * x[:60]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[60:120] = 0.902 * x[:60] + np.sqrt(1 - 0.902**2) * side  # 60 pairs among 20,000 vectors
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df, Scratch(spark)).where("n_links > 0 OR NOT kept").collect()}
+    assert got == {k: (1, k % 60) for k in range(120)}, len(got)

@@ -283,6 +283,14 @@ def _(spark, d):
     return bloom.probe(bloom.build(entries), entries)
 
 
+@query("bloom_probe_layers", LOG_CTE + f""", asked AS (SELECT layer, key FROM entries UNION SELECT layer - 1, key FROM entries), own AS ({INDICES}), other AS ({INDICES.replace("FROM entries) e", "FROM asked) e")})
+SELECT a.layer, a.key, bool_and(o.bit IS NOT NULL) AS maybe FROM other a LEFT JOIN (SELECT DISTINCT layer, bit FROM own) o ON a.layer = o.layer AND a.bit = o.bit GROUP BY a.layer, a.key""")
+def _(spark, d):
+    """Each key of all layers against its own layer and the one before, which lacks most of them."""
+    entries = merge.per_layer(events_log(spark, d))
+    return bloom.probe(bloom.build(entries), entries.select("layer", "key").unionByName(entries.select((F.col("layer") - 1).alias("layer"), "key")))
+
+
 @query("bloom_golden", "SELECT * FROM (VALUES ('alpha', '43,6,33,60,23,50,13'), ('beta', '39,30,21,12,3,58,49'), ('gamma', '42,37,32,27,22,17,12')) t(key, bits)")
 def _(spark, d):
     keys = spark.sql("SELECT * FROM VALUES ('alpha'), ('beta'), ('gamma') AS t(key)")

@@ -134,8 +134,9 @@ def _cells(classes: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, s
     return classes.select("cid", "v", "n").mapInArrow(run, f"cid long, v {dict(classes.dtypes)['v']}, n long, cell long, visits array<long>")
 
 
-def _verify(blocks: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """Blocks of (q, cid, v, n), q true for queries, to (cid, links, root): rows linked to, counted with their copies, and a member of the cid's component within the block. One row a linked vector, not one a pair."""
+def _verify(blocks: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, cosine: float, stop: float) -> DataFrame:
+    """Blocks of (q, cid, v, n, own), q true for queries and own the vector's cell, to (cid, links, root): rows linked to, counted with their copies, and a member of the cid's component within the block. One row a linked vector, not one a pair. The known end of a link counts it here if its own visits don't reach the query's cell, and in that cell's block otherwise."""
+    half = dim // 2
 
     def run(table):
         import pyarrow as pa
@@ -143,7 +144,7 @@ def _verify(blocks: DataFrame, dim: int, cosine: float) -> DataFrame:
 
         def side(q):
             t = table.filter(pc.equal(table["q"], q)).combine_chunks()
-            return (t["cid"].to_numpy(), _matrix(t["v"].combine_chunks(), dim), t["n"].to_numpy()) if t.num_rows else None
+            return (t["cid"].to_numpy(), _matrix(t["v"].combine_chunks(), dim), t["n"].to_numpy(), t["own"].to_numpy()) if t.num_rows else None
 
         ask, known = side(True), side(False)
         if not ask or not known:
@@ -157,8 +158,13 @@ def _verify(blocks: DataFrame, dim: int, cosine: float) -> DataFrame:
             before = (la.sum(), lb.sum())
             la = np.minimum(la, np.where(m, lb[None, :], far).min(1))
             lb = np.minimum(lb, np.where(m, la[:, None], far).min(0))
-        links = m.astype(np.int64) @ known[2][cols] if len(a) else a
-        return pa.table({"cid": np.concatenate((a, b)), "links": np.concatenate((links, np.zeros(len(b), np.int64))), "root": np.concatenate((la, lb))})
+        links, back = a, b
+        if len(a):
+            i, j = np.divmod(ask[3][rows], len(books[1]))
+            h1, h2 = margins(known[1][cols, :half], books[0])[1], margins(known[1][cols, half:], books[1])[1]
+            links = m.astype(np.int64) @ known[2][cols]
+            back = (m.T & (h1[:, i] + h2[:, j] > stop)).astype(np.int64) @ ask[2][rows]
+        return pa.table({"cid": np.concatenate((a, b)), "links": np.concatenate((links, back)), "root": np.concatenate((la, lb))})
 
     return blocks.groupBy("cell", "bi", "bq").applyInArrow(run, "cid long, links long, root long")
 
@@ -197,16 +203,17 @@ def near_vectors(rows: DataFrame, scratch: Scratch, cosine: float = COSINE, reac
         reach = measured_reach(classes, books, dim, cosine, sample["cid"].to_numpy(), x)
     if reach >= 1:  # most cells are visited, so small ones would only multiply the rows
         books = codebooks(INDEX_BLOCK)
-    placed = scratch.save(_cells(classes, books, dim, (2 - 2 * cosine) * reach + 1e-9), "cells")
+    stop = (2 - 2 * cosine) * reach + 1e-9
+    placed = scratch.save(_cells(classes, books, dim, stop), "cells")
 
-    visits = placed.select("cid", "v", "n", F.explode("visits").alias("cell"))
+    visits = placed.select("cid", "v", "n", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("ni")).join(placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("nq")), "cell")
     sizes = scratch.save(sizes.select("cell", F.ceil(F.col("ni") / INDEX_BLOCK).cast("int").alias("ci"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("cq")), "sizes")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     part = lambda c: F.pmod(F.xxhash64("cid"), F.col(c)).cast("int")
-    known = split_join(placed.select("cid", "v", "n", "cell"), sizes, "cell").select("cell", part("ci").alias("bi"), upto("cq").alias("bq"), F.lit(False).alias("q"), "cid", "v", "n")
-    asked = split_join(visits, sizes, "cell").select("cell", upto("ci").alias("bi"), part("cq").alias("bq"), F.lit(True).alias("q"), "cid", "v", "n")
-    found = scratch.save(_verify(known.unionByName(asked), dim, cosine), "found")
+    known = split_join(placed.select("cid", "v", "n", "cell"), sizes, "cell").select("cell", part("ci").alias("bi"), upto("cq").alias("bq"), F.lit(False).alias("q"), "cid", "v", "n", F.col("cell").alias("own"))
+    asked = split_join(visits, sizes, "cell").select("cell", upto("ci").alias("bi"), part("cq").alias("bq"), F.lit(True).alias("q"), "cid", "v", "n", "own")
+    found = scratch.save(_verify(known.unionByName(asked), books, dim, cosine, stop), "found")
 
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch).select(F.col("node").alias("cid"), "root")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

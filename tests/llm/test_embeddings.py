@@ -86,3 +86,16 @@ def test_rare_links_near_the_threshold_are_found(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df, Scratch(spark)).where("n_links > 0 OR NOT kept").collect()}
     assert got == {k: (1, k % 60) for k in range(120)}, len(got)
+
+
+def test_a_link_found_from_one_side_counts_for_both(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PER_CELL", 1)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 64))
+    x[200:400] = x[:200] + 0.45 * rng.normal(size=(200, 64))  # pairs near the threshold
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(df, Scratch(spark), reach=0.02).collect()}
+    found = [k for k in range(200) if got[k + 200]["component_id"] == k]
+    assert 20 < len(found) < 200
+    assert all(got[k]["n_links"] == got[k + 200]["n_links"] == 1 for k in found)
+    assert sum(r["n_links"] for r in got.values()) == 2 * len(found)

@@ -1,5 +1,5 @@
 """Versioned keyed data on Spark: logs of puts and deletes, immutable layers, newest-wins reads."""
 
-from stratalog.errors import CorruptLayer, CorruptLog, InvalidInput, StoreError
+from stratalog.errors import Conflict, CorruptLayer, CorruptLog, InvalidInput, Lagged, StoreError
 
-__all__ = ["CorruptLayer", "CorruptLog", "InvalidInput", "StoreError"]
+__all__ = ["Conflict", "CorruptLayer", "CorruptLog", "InvalidInput", "Lagged", "StoreError"]

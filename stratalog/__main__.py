@@ -7,20 +7,21 @@ from stratalog.errors import StoreError
 from stratalog.functions.keys import check_key
 from stratalog.operators.read import lines, rows_wanted
 from stratalog.sources.store import Store
-from stratalog.streaming.watch import as_lines, watch
+from stratalog.streaming.watch import as_lines
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stratalog")
     p.add_argument("--data", default="data/stratalog", help="the store's folder")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"put": ["key", "value"], "get": ["key"], "delete": ["key"], "flush": [], "compact": [], "stats": []}.items():
+    for name, args in {"put": ["key", "value"], "get": ["key"], "delete": ["key"], "flush": [], "compact": [], "stats": [], "import": ["file"], "verify": [], "vacuum": []}.items():
         c = sub.add_parser(name)
         for a in args:
             c.add_argument(a)
-    scan = sub.add_parser("scan")
-    scan.add_argument("--prefix", default="")
-    scan.add_argument("--limit", type=int)
+    for name in ("scan", "export"):
+        c = sub.add_parser(name)
+        c.add_argument("--prefix", default="")
+        c.add_argument("--limit", type=int)
     watcher = sub.add_parser("watch")
     watcher.add_argument("--prefix", default="")
     return p
@@ -44,9 +45,22 @@ def run(store: Store, args: argparse.Namespace) -> str:
         rows = store.scan(args.prefix, rows_wanted(args.limit, "cli"))
         return "\n".join(r["line"] for r in lines(rows).collect())
     if args.command == "watch":
-        stream = as_lines(watch(store.feed(), args.prefix))
-        stream.select("line").writeStream.format("console").option("truncate", "false").start().awaitTermination()
+
+        def show(events, k):
+            for r in as_lines(events).orderBy("seq").toLocalIterator():
+                print(r["line"], flush=True)
+
+        store.feed(show, args.prefix).awaitTermination()
         return ""
+    if args.command == "import":
+        with open(args.file, encoding="utf-8") as f:
+            return report(store.import_json(f.read()))
+    if args.command == "export":
+        return store.export_json(args.prefix, args.limit)
+    if args.command == "verify":
+        return f"layers: {store.verify()}"
+    if args.command == "vacuum":
+        return f"folders: {store.vacuum()}"
     return report({"flush": store.flush, "compact": store.compact, "stats": store.stats}[args.command]())
 
 

@@ -19,3 +19,7 @@ class CorruptLayer(StoreError):
 
 class Conflict(StoreError):
     """Another writer has committed this version already."""
+
+
+class Lagged(StoreError):
+    """A feed has come so late that events it should give are deleted."""

@@ -12,6 +12,10 @@ def check_key(key: str | bytes) -> str | bytes:
     return key
 
 
+def octets(x: str | bytes | None) -> bytes:
+    return x.encode() if isinstance(x, str) else bytes(x or b"")
+
+
 def valid(key: Column) -> Column:
     """Whether a key may be stored: not null and at least one byte."""
     return F.coalesce(F.octet_length(key) > 0, F.lit(False))

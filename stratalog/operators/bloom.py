@@ -11,10 +11,14 @@ def lengths(entries: DataFrame) -> DataFrame:
     return entries.groupBy("layer").agg(bloom_length(F.count("*")).alias("bit_len"))
 
 
+def _bits(sized: DataFrame) -> DataFrame:
+    at = sized.select("layer", "key", "bit_len", bloom_indices(sized.sparkSession, F.col("key"), F.col("bit_len")).alias("at"))
+    return at.select("layer", "key", "bit_len", F.explode("at").alias("bit"))
+
+
 def indices(entries: DataFrame) -> DataFrame:
     """(layer, key, bit_len, bit) with a row for each of the hashes of each key."""
-    sized = entries.select("layer", "key").join(lengths(entries), "layer")
-    return sized.select("layer", "key", "bit_len", F.explode(bloom_indices(F.col("key"), F.col("bit_len"))).alias("bit"))
+    return _bits(entries.select("layer", "key").join(lengths(entries), "layer"))
 
 
 def build(entries: DataFrame) -> DataFrame:
@@ -25,8 +29,7 @@ def build(entries: DataFrame) -> DataFrame:
 
 def probe(filters: DataFrame, asked: DataFrame) -> DataFrame:
     """(layer, key, maybe) for the (layer, key) pairs asked; `filters` is what build() gives."""
-    asked = asked.select("layer", "key").distinct().join(filters.select("layer", "bit_len").distinct(), "layer")
-    bits = asked.select("layer", "key", F.explode(bloom_indices(F.col("key"), F.col("bit_len"))).alias("bit")).withColumn("byte_no", F.expr("bit div 8"))
+    bits = _bits(asked.select("layer", "key").distinct().join(filters.select("layer", "bit_len").distinct(), "layer")).withColumn("byte_no", F.expr("bit div 8"))
     seen = bits.join(filters.select("layer", "byte_no", "bits"), ["layer", "byte_no"], "left")
     hit = F.coalesce(F.expr("bits & cast(shiftleft(1, cast(bit % 8 as int)) as bigint)"), F.lit(0)) != 0
     return seen.groupBy("layer", "key").agg(F.every(hit).alias("maybe"))

@@ -61,6 +61,11 @@ def raw_scan(records: DataFrame, prefix: str | bytes, limit: int | None = None)
     return out if limit is None else out.limit(limit)
 
 
+def iterate(records: DataFrame, descending: bool = False) -> DataFrame:
+    """All records of a MemTable or layer in key order, from either end."""
+    return records.orderBy(F.desc("key") if descending else "key")
+
+
 def layer(log: DataFrame, number: int) -> DataFrame:
     return per_layer(log.where(F.col("layer") == number))
 

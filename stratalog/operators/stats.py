@@ -85,6 +85,9 @@ def benchmark_summary(completed: int, errors: int, elapsed_ms: float) -> dict:
 
 
 def unsorted_neighbours(entries: DataFrame) -> DataFrame:
-    """(layer, key) that don't stand strictly above the key before them in storage order `pos`."""
-    w = Window.partitionBy("layer").orderBy("pos")
-    return entries.withColumn("before", F.lag("key").over(w)).where(F.col("before") >= F.col("key")).select("layer", "key")
+    """(layer, key) that don't stand strictly above the key before them, where `file` and `row` are the place in storage. Files are compared within themselves; only their first and last keys meet by layer."""
+    place = Window.partitionBy("layer", "file").orderBy("row")
+    inside = entries.withColumn("before", F.lag("key").over(place)).where(F.col("before") >= F.col("key")).select("layer", "key")
+    ends = entries.groupBy("layer", "file").agg(F.min_by("key", "row").alias("first"), F.max_by("key", "row").alias("last"))
+    border = ends.withColumn("before", F.lag("last").over(Window.partitionBy("layer").orderBy("file"))).where(F.col("before") >= F.col("first")).select("layer", F.col("first").alias("key"))
+    return inside.unionByName(border)

@@ -6,12 +6,15 @@ frame = payload length u32, payload, crc32(payload) u32; payload = op u8, key le
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.errors import CorruptLog, InvalidInput
+from stratalog.operators import merge
 from stratalog.schema import DELETE, MAX_RECORD_BYTES, PUT
+from stratalog.sources.workspace import arrow_folder, hadoop_path, ship_package
 
 
 def _u32(n: Column) -> Column:
@@ -42,16 +45,16 @@ def frame(op: int, key: bytes, value: bytes = b"") -> bytes:
     return struct.pack("<I", len(body)) + body + struct.pack("<I", zlib.crc32(body))
 
 
-def frames(raw: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
-    """(op, key, value or None) in order. A tail that ends early is ignored; anything else that is wrong is CorruptLog."""
-    at = 0
+def frames(raw: bytes | memoryview) -> Iterator[tuple[int, bytes, bytes | None]]:
+    """(op, key, value or None) in order, from bytes or any buffer. A tail that ends early is ignored; anything else that is wrong is CorruptLog."""
+    raw, at = memoryview(raw), 0
     while at + 4 <= len(raw):
         (n,) = struct.unpack_from("<I", raw, at)
         if n > MAX_RECORD_BYTES:
             raise CorruptLog(f"record length {n} at byte {at} is over the limit")
         if at + 8 + n > len(raw):
             return
-        body = raw[at + 4 : at + 4 + n]
+        body = bytes(raw[at + 4 : at + 4 + n])
         if zlib.crc32(body) != struct.unpack_from("<I", raw, at + 4 + n)[0]:
             raise CorruptLog(f"checksum mismatch at byte {at}")
         yield _record(body, at)
@@ -67,22 +70,68 @@ def _record(body: bytes, at: int) -> tuple[int, bytes, bytes | None]:
     return op, body[9 : 9 + keys], body[9 + keys :] if op == PUT else None
 
 
+def write(log: DataFrame, folder: str) -> DataFrame:
+    """Write a log's frames in order of seq to segment files; gives (file, first, records, bytes) and writes as it is read. A file has the number of its first record as its name, so that names order files; a task that runs again writes the same file again."""
+    ship_package(log.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        files, path = arrow_folder(folder)
+        out, first, n, size = None, 0, 0, 0
+        for b in batches:
+            for seq, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if out is None:
+                    files.create_dir(path, recursive=True)
+                    first, out = seq, files.open_output_stream(f"{path}/{seq:020d}.wal", compression=None)
+                out.write(raw)
+                n, size = n + 1, size + len(raw)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": [f"{first:020d}.wal"], "first": [first], "records": [n], "bytes": [size]})
+
+    ordered = encode(log.repartitionByRange("seq")).sortWithinPartitions("seq")
+    return ordered.mapInArrow(run, "file string, first long, records long, bytes long")
+
+
+#: Records of a file that are decoded at once.
+DECODED = 4096
+
+
 def recover(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, op, key, value) of log files; each file is one segment, so files are decoded in parallel."""
+    """(file, pos, op, key, value) of log files, in order of their names and of pos. Each file is a segment of up to 2 GB, so files are decoded in parallel, a bounded number of records at a time. A missing folder is an empty log."""
+    schema = "file string, pos long, op int, key binary, value binary"
+    fs, p = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return spark.createDataFrame([], schema)
+    ship_package(spark)
 
     def decode(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        for b in batches:
+            for k in range(b.num_rows):
+                name, records, at = b.column(0)[k].as_py(), frames(b.column(1)[k].as_buffer()), 0
+                while got := list(islice(records, DECODED)):
+                    ops, keys, values = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([name] * len(got), range(at, at + len(got)), ops, keys, values), kinds, strict=True)], ["file", "pos", "op", "key", "value"])
+                    at += len(got)
+
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), "content").mapInArrow(decode, schema)
 
-        for pdf in batches:
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                got = list(frames(bytes(raw)))
-                yield pd.DataFrame({"file": [path] * len(got), "pos": range(len(got)), "op": [r[0] for r in got], "key": [r[1] for r in got], "value": [r[2] for r in got]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, pos long, op int, key binary, value binary")
+def replay(records: DataFrame) -> DataFrame:
+    """The state after all recovered records are applied in order: the last record of each key."""
+    return merge.latest(records.select(F.struct("file", "pos").alias("seq"), "op", "key", "value"))
 
 
 def verify(encoded: DataFrame) -> DataFrame:
-    """(seq, ok): the stored checksum against that of the payload, and the stored length against the frame's."""
+    """(seq, verdict) of single frames: ok; torn, if the frame ends early, as a last write may; oversize or corrupt otherwise."""
+    n = F.octet_length("frame")
+    head = F.hex(F.substring("frame", 1, 4))
+    declared = F.conv(F.concat(*(F.substring(head, 2 * k + 1, 2) for k in (3, 2, 1, 0))), 16, 10).cast("bigint")
     body = F.expr("substring(frame, 5, octet_length(frame) - 8)")
-    tail = F.expr("right(hex(frame), 8)")
-    return encoded.select("seq", ((F.hex(_u32(F.crc32(body))) == tail) & (F.hex(_u32(F.octet_length(body))) == F.expr("left(hex(frame), 8)"))).alias("ok"))
+    sound = F.hex(_u32(F.crc32(body))) == F.expr("right(hex(frame), 8)")
+    verdict = F.when(n < 4, "torn").when(declared > MAX_RECORD_BYTES, "oversize").when(n < declared + 8, "torn").when((n == declared + 8) & sound, "ok").otherwise("corrupt")
+    return encoded.select("seq", verdict.alias("verdict"))

@@ -15,10 +15,10 @@ def event_name(op: Column) -> Column:
 
 def events(log: DataFrame) -> DataFrame:
     """(seq, event, key, value): an event for every committed record, none for flush or compaction."""
-    return log.select("seq", event_name(F.col("op")).alias("event"), "key", F.coalesce("value", F.lit("")).alias("value"))
+    return log.select("seq", event_name(F.col("op")).alias("event"), "key", F.coalesce("value", F.lit("").cast(log.schema["value"].dataType)).alias("value"))
 
 
-def watch(log: DataFrame, prefix: str = "") -> DataFrame:
+def watch(log: DataFrame, prefix: str | bytes = "") -> DataFrame:
     return events(log.where(has_prefix(F.col("key"), prefix)))
 
 
@@ -43,8 +43,18 @@ def state(log: DataFrame) -> DataFrame:
     return latest(log)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over all that is there now into an in-memory table, for tests and small feeds."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_files(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Drive a stream over all that is there now into Parquet files in a shared folder, and read them. In complete mode each batch is a whole result in a folder of its own, and the last is read."""
+    spark, schema = stream.sparkSession, stream.schema
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(schema).parquet(f"{folder}/rows")
+    done = []
+
+    def whole(rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch-{k}")
+        done.append(k)
+
+    out.foreachBatch(whole).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/batch-{done[-1]}") if done else spark.createDataFrame([], schema)

@@ -9,9 +9,9 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_all_layers_and_absent_keys_are_probed(spark):
-    compare(spark, "bloom_probe_layers", QUERIES["bloom_probe_layers"], SQL["bloom_probe_layers"], SF)
+    compare(spark, "bloom_probe", QUERIES["bloom_probe"], SQL["bloom_probe"], SF)
     entries = {(r["layer"], r["key"]) for r in merge.per_layer(events_log(spark, SF)).select("layer", "key").collect()}
-    got = {(r["layer"], r["key"]): r["maybe"] for r in QUERIES["bloom_probe_layers"](spark, SF).collect()}
+    got = {(r["layer"], r["key"]): r["maybe"] for r in QUERIES["bloom_probe"](spark, SF).collect()}
     assert entries <= got.keys() and all(got[x] for x in entries) and {n for n, _ in got} == {n for n, _ in entries} and max(got)[0] > 10
     absent = got.keys() - entries
     assert absent and sum(got[x] for x in absent) < 0.03 * len(absent)  # ten bits a key

@@ -5,7 +5,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.errors import Conflict, CorruptLayer, CorruptLog, InvalidInput
+from stratalog import answers
+from stratalog.errors import Conflict, CorruptLayer, CorruptLog, InvalidInput, Lagged
+from stratalog.functions import hashing
 from stratalog.functions.keys import has_prefix, successor, text_view
 from stratalog.operators import bloom, read
 from stratalog.operators.stats import benchmark_summary
@@ -97,7 +99,7 @@ def test_automatic_flush(spark, tmp_path):
 def test_random_operations_against_a_dict(store):
     rng, model = random.Random(7), {}
     steps = []
-    for _ in range(120):
+    for _ in range(60):
         k = f"k{rng.randrange(12)}"
         if rng.random() < 0.1:
             steps.append(None)
@@ -163,23 +165,152 @@ def test_log_frames(spark, tmp_path):
             wal.frame(*bad)
     (tmp_path / "seg1").write_bytes(raw)
     assert [(r["pos"], r["op"], bytes(r["key"])) for r in wal.recover(spark, str(tmp_path)).orderBy("pos").collect()] == [(0, 1, b"alpha"), (1, 2, b"alpha")]
+    assert wal.recover(spark, f"{tmp_path}/none").count() == 0
+    (tmp_path / "seg1").write_bytes(bytes(broken))
+    with pytest.raises(Exception, match="checksum"):
+        wal.recover(spark, str(tmp_path)).collect()
     log = spark.createDataFrame([(1, 1, "alpha", "one"), (2, 2, "alpha", None)], "seq long, op int, key string, value string")
     assert b"".join(bytes(r["frame"]) for r in wal.encode(log).orderBy("seq").collect()) == raw
 
 
 def test_snapshots(spark):
     assert [tuple(r)[2:] for r in snapshot.load(spark, '[{"key":"a","value":"1"},{"key":""}]').collect()] == [("a", "1")]
-    with pytest.raises(InvalidInput):
-        snapshot.load(spark, '{"rows":[]}')
-
+    for bad in ('{"rows":[]}', "{", '[{"key":""}, 4]'):
+        with pytest.raises(InvalidInput):
+            snapshot.load(spark, bad)
+    texts = {"0.0": "0", "-0.0": "0", "12.50": "12.5", "1e3": "1000", "1e20": "100000000000000000000", "1.5e21": "1.5e+21", "1e-6": "0.000001", "1.25e-7": "1.25e-7", "0.001": "0.001", "123456789012": "123456789012", "-1.5": "-1.5", "1e7": "10000000", "12345678.9": "12345678.9", "0.00123": "0.00123"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", snapshot.browser_text(F.try_parse_json("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == texts
 
-def test_feed_streams_committed_batches(spark, store):
-    from stratalog.streaming.watch import as_lines, run_to_table, watch
 
+def test_feed_gives_committed_batches_in_order(spark, store, monkeypatch):
     fill(store, ("user:1", "alice"), ("order:1", "x"), ("user:1",))
+    got = []
+    take = lambda rows, k: got.extend((r["event"], r["key"], r["value"]) for r in rows.collect())
+    since = store.manifest()["version"]
+    stale = store.manifest()
+    store.put("user:2", "bob")
+    with monkeypatch.context() as m:  # a writer that read the manifest before the last commit loses, and its batch is never seen
+        m.setattr(store, "manifest", lambda: stale)
+        with pytest.raises(Conflict):
+            store.put("user:ghost", "boo")
     store.flush()
-    got = run_to_table(as_lines(watch(store.feed(), "user:")), "feed_lines")
-    assert [r["line"] for r in got.orderBy("seq").collect()] == ["PUT user:1=alice", "DELETE user:1"]
+    store.feed(take, "user:", since=0, until_now=True).awaitTermination()
+    assert got == [("put", "user:1", "alice"), ("delete", "user:1", ""), ("put", "user:2", "bob")]
+    got.clear()
+    store.feed(take, since=since, until_now=True).awaitTermination()
+    assert got == [("put", "user:2", "bob")] and store.get("user:ghost") is None
+    store.compact()
+    store.vacuum()
+    with pytest.raises(Lagged):
+        store.changes(0)
+    store.put("a", "1")
+    version = store.manifest()["version"]
+    store.flush()
+    store._fs.delete(store._path(store.manifest(version)["added"][0]["path"]), True)
+    with pytest.raises(Lagged, match="1 events"):
+        store.changes(version - 1)
+
+
+def test_the_log_goes_after_a_flush_and_open_readers_end(spark, store):
+    fill(store, ("a", "1"), None, ("b", "2"))
+    rows = store.scan()
+    store.compact()
+    assert pairs(rows) == [("a", "1"), ("b", "2")]  # made before the compaction, read after it
+    folders = lambda kind: [s.getPath().getName() for s in store._fs.listStatus(store._path(kind))]
+    assert len(folders("log")) == 2 and store.vacuum() == 4 and folders("log") == [] and folders("staged") == [] and len(folders("layers")) == 1
+    assert dict(pairs(Store(spark, store.root).scan())) == {"a": "1", "b": "2"}
+    again = Store(spark, store.root, keep=1)
+    for k in range(4):
+        again.put("c", str(k))
+        again.flush()
+    assert len(again.manifest()["retired"]) <= 2 and again.get("c") == "3"
+
+
+def test_two_writers_race(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def commit(other, old, k):
+        try:
+            return other._commit(old, seq=k)["seq"]
+        except Conflict:
+            return None
+
+    others = [Store(spark, store.root) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        for _ in range(25):
+            old = store.manifest()
+            won = [x for x in pool.map(commit, others, [old] * 4, range(4)) if x is not None]
+            assert len(won) == 1 and store.manifest()["seq"] == won[0] and store.manifest()["version"] == old["version"] + 1
+
+
+def test_rows_are_numbered_on(spark, store):
+    batch = lambda *rows: spark.createDataFrame(rows, "seq long, op int, key string, value string")
+    store.apply(batch((100, 1, "a", "old"), (7, 1, "b", "x")))
+    store.apply(batch((-5, 1, "a", "new"), (-4, 2, "b", None), (-3, 1, "b", "y")))
+    assert dict(pairs(store.scan())) == {"a": "new", "b": "y"} and store.manifest()["seq"] == 5
+    assert sorted(r["seq"] for r in store.changelog().collect()) == [1, 2, 3, 4, 5]
+    for bad in (batch((None, 1, "a", "x")), batch((1, 1, "a", "x"), (1, 1, "b", "x")), batch((1, 3, "a", "x")), batch((1, 1, "", "x")), batch((1, 1, None, "x"))):
+        with pytest.raises(InvalidInput):
+            store.apply(bad)
+    assert store.apply(batch((1, 1, "a", "x")).limit(0)) == 0 and store.manifest()["seq"] == 5
+    big = spark.range(1000).selectExpr("-id AS seq", "1 AS op", "concat('k', id % 10) AS key", "string(id) AS value").repartition(7)
+    assert store.apply(big) == 1000 and store.get("k3") == "3" and store.manifest()["seq"] == 1005
+
+
+def test_open_and_verify_find_damage(spark, store):
+    fill(store, ("a", "1"), ("b", "2"), None, ("c", "3"), None)
+    assert store.verify() == 2
+    old = store.manifest()
+    wrong = store._write(store.layer(1).select("seq", "op", "key", "value", "layer").repartition(1).sortWithinPartitions(F.desc("key")), "layers")
+    store._commit(old, layers=[old["layers"][0] | {"path": wrong}, old["layers"][1]])
+    with pytest.raises(CorruptLayer, match="order"):
+        store.verify()
+    store._commit(store.manifest(), layers=[old["layers"][0] | {"entry_count": 3}])
+    with pytest.raises(CorruptLayer, match="manifest says"):
+        store.verify()
+    store._commit(store.manifest(), layers=[old["layers"][0] | {"path": "layers/none"}])
+    with pytest.raises(CorruptLayer, match="isn't there"):
+        Store(spark, store.root)
+    store._create(f"manifests/{store.manifest()['version'] + 1:020d}.json", b"{}")
+    with pytest.raises(CorruptLayer, match="lacks"):
+        Store(spark, store.root)
+
+
+def test_answers(store):
+    assert answers.put(store, "user:1", "alice") == {"success": True, "message": "stored user:1"}
+    assert answers.get(store, "user:1") == {"found": True, "key": "user:1", "value": "alice"} and answers.get(store, "x") == {"found": False, "key": "x", "value": None}
+    assert answers.get(store, "") == {"found": False, "key": "", "value": "error: keys must not be empty"} and not answers.put(store, "", "x")["success"] and not answers.delete(store, "")["success"]
+    assert answers.scan(store, "user:") == {"rows": [{"key": "user:1", "value": "alice"}]} and answers.scan(store, limit=0) == {"rows": []} and answers.scan(store, limit=-1) == {"rows": []}
+    assert answers.demo(store)["success"] and answers.stats(store)["memtable_entries"] == 6
+    assert answers.flush(store)["message"].startswith("flushed") and answers.flush(store)["message"] == "nothing to flush" and answers.delete(store, "user:2")["success"] and answers.compact(store)["success"]
+    assert answers.import_rows(store, '{"rows":[{"key":"z","value":1.50},{"key":""},{"key":"z2"}]}') == {"success": True, "imported": 2, "message": "imported 2 rows"} and store.get("z") == "1.5"
+    assert not answers.import_rows(store, "no json")["success"] and not answers.import_rows(store, "[]")["success"] and not answers.import_rows(store, '{"rows": 3}')["success"]
+
+
+def test_import_stops_at_the_first_row_that_cannot_be_stored(store, monkeypatch):
+    monkeypatch.setattr("stratalog.sources.store.MAX_RECORD_BYTES", 20)
+    got = store.import_json('[{"key":"a","value":"1"},{"key":"b","value":"' + "x" * 30 + '"},{"key":"c","value":"3"}]')
+    assert not got["success"] and got["imported"] == 1 and dict(pairs(store.scan())) == {"a": "1"}
+
+
+def test_hashes_of_any_length():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    keys = [b"", b"a", *(rng.randbytes(rng.randrange(1, 90)) for _ in range(300)), b"x" * 5000]
+
+    def fold(key, h):
+        for x in key:
+            h = (h ^ x) * 0x100000001B3 % 2**64
+        return h
+
+    for bits in (64, 1000, 2**31 + 11, 10**10, 2**40, 2**62 + 1):
+        got = hashing.positions(pa.array(keys).slice(1), pa.array(np.full(len(keys) - 1, bits)))
+        want = [[(fold(k, 0xCBF29CE484222325) + i * (fold(k, 0x9E3779B97F4A7C15) | 1)) % 2**64 % bits for i in range(7)] for k in keys[1:]]
+        assert got.tolist() == want
+    assert hashing.positions(pa.array([], pa.binary()), pa.array([], pa.int64())).shape == (0, 7)
 
 
 def test_benchmark_summary():
@@ -208,13 +339,15 @@ def test_a_crash_before_the_commit_changes_nothing(store):
     assert pairs(read.scan(both)) == [("a", "1"), ("b", "2")]
 
 
-def test_command_line(store):
+def test_command_line(store, tmp_path):
     from stratalog.__main__ import parser, run
 
     say = lambda *a: run(store, parser().parse_args(a))
     assert say("put", "user:1", "alice") == "OK" and say("get", "user:1") == "alice" and say("get", "user:2") == "(not found)"
     assert say("scan", "--prefix", "user:") == "user:1=alice" and say("scan", "--limit", "0") == ""
     assert say("flush") == "flushed: true\nlayer_id: 1\nentries: 1" and say("delete", "user:1") == "OK"
-    assert "dropped_entries: 2" in say("compact") and "memtable_entries: 0" in say("stats")
+    assert "dropped_entries: 2" in say("compact") and "memtable_entries: 0" in say("stats") and say("verify") == "layers: 0"
+    (tmp_path / "rows.json").write_text('[{"key":"k","value":2}]')
+    assert "imported: 1" in say("import", str(tmp_path / "rows.json")) and '"prefix":"","rows":[{"key":"k","value":"2"}]' in say("export") and '"exported_at":"20' in say("export") and say("vacuum").startswith("folders: ")
     with pytest.raises(InvalidInput):
         say("put", "", "x")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,8 +17,8 @@ from stratalog.llm.graph import components, split_join
 from stratalog.llm.scratch import Scratch
 
 COSINE = 0.9
-#: Bounds of the codebooks: vectors they are fitted on (by least hash) and codewords a half.
-SAMPLE, CODEWORDS = 20_000, 1024
+#: Bounds of the codebooks: vectors they are fitted on (by least hash) and codewords a half, enough for 16 vectors a cell of 268 million.
+SAMPLE, CODEWORDS = 20_000, 4096
 PER_CELL = 16
 #: Queries compared with all rows at once to measure reach, the share of links that it must find, what it is multiplied by then, and its least value.
 QUERIES, TARGET, MARGIN, LEAST_REACH = 1000, 0.995, 4, 0.025
@@ -34,7 +35,7 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(ROUNDS):
-        near = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+        near = np.concatenate([((c**2).sum(1) - 2 * x[k : k + 2048] @ c.T).argmin(1) for k in range(0, len(x), 2048)])
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -172,23 +173,24 @@ def _verify(blocks: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, c
 def near_vectors(rows: DataFrame, scratch: Scratch, cosine: float = COSINE, reach: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
-    Vectors that are null, zero, hold null or non-finite components, or aren't of the commonest length (of equals the shortest) link with nothing. Equal vectors are one class with a count: they link with each other and share their links, at the cost of one. component_id is the least key reachable; null keys give it only where there is no other. Repeated rows count as vectors of their own. An empty table gives no rows. Other columns aren't read.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of different lengths not with each other: each length has an index of its own, so the lengths come to the driver. Equal vectors are one class with a count: they link with each other and share their links, at the cost of one. component_id is the least key reachable; null keys give it only where there is no other. Repeated rows count as vectors of their own. An empty table gives no rows. Other columns aren't read.
 
     Cells of many vectors or many visitors are split into blocks, of which each pair of a vector's and a visitor's meets once, so no task holds a whole cell.
     """
     v = F.col(vector)
     good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.select(F.col(key).alias("k"), F.when(good, v).alias("v"))
-    top = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = top["d"] if top else 0
-    alone = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
-    lone = alone.where("v IS NULL").select(F.col("k").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
+    lone = rows.where("v IS NULL").select(F.col("k").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
+    lengths = [r["d"] for r in rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
+    found = [_near_of_length(rows.where((F.col("v").isNotNull()) & (F.size("v") == d)), d, scratch, cosine, reach, key) for d in lengths]
+    return reduce(DataFrame.unionByName, found, lone)
+
+
+def _near_of_length(linked: DataFrame, dim: int, scratch: Scratch, cosine: float, reach: float | None, key: str) -> DataFrame:
+    """near_vectors() for rows (k, v) of sound vectors of one length."""
     if dim < 2:  # without two halves there is only the sign
-        alone = alone.withColumn("v", F.when(F.col("v").isNotNull(), F.concat("v", F.array(F.lit(0.0).cast(alone.schema["v"].dataType.elementType)))))
-        dim += dim == 1
-    linked = alone.where("v IS NOT NULL")
-    if not dim:
-        return lone
+        linked = linked.withColumn("v", F.concat("v", F.array(F.lit(0.0).cast(linked.schema["v"].dataType.elementType))))
+        dim = 2
     classes = scratch.save(linked.groupBy("v").agg(F.count("*").alias("n"), F.min("k").alias("head")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     sample = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow()
     x = _matrix(sample["v"].combine_chunks(), dim)
@@ -223,4 +225,4 @@ def near_vectors(rows: DataFrame, scratch: Scratch, cosine: float = COSINE, reac
     whole = split_join(whole, least, "root").select(F.xxhash64("v").alias("h"), F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     twin = F.pmod(F.hash("h"), F.lit(1 << 20))
     out = linked.withColumn("h", F.xxhash64("v")).withColumn("t", twin).join(whole.withColumn("t", twin), ["h", "t"]).where(F.col("v") == F.col("w"))
-    return out.select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(lone)
+    return out.select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))

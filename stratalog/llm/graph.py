@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from stratalog.llm.scratch import Scratch
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot keys on the left can be split at run time. `right` has one row a key.
+def split_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """An equi-join whose hot keys on the left can be split at run time. `right` has one row a key. Null keys meet nothing.
 
     Adaptive execution splits a skewed partition only where both inputs are shuffled for the join itself; a second key that follows from the first makes it so, even if one input comes partitioned by key from an aggregate.
     """
-    twin = F.pmod(F.hash(key), F.lit(1 << 20))
-    return left.withColumn("_twin", twin).join(right.withColumn("_twin", twin), [key, "_twin"], how).drop("_twin")
+    keys = [key] if isinstance(key, str) else key
+    twin = F.pmod(F.hash(*keys), F.lit(1 << 20))
+    return left.withColumn("_twin", twin).join(right.withColumn("_twin", twin), [*keys, "_twin"], how).drop("_twin")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by systematic sampling. Built-in functions only."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.ranks import count_words, ranked
@@ -24,13 +25,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.max("level").over(whole) * F.col("w")).alias("target"))
 
 
-def _decide(docs: DataFrame, scratch: Scratch, seed: int, key: str, text: str, source: str, keep: list[str]) -> DataFrame:
-    """_k, _s, _size, source_size, target and copies of each row, and each column in keep with the prefix _keep_."""
+def _decide(docs: DataFrame, scratch: Scratch, seed: int, key: str, text: str, source: str, also: dict[str, Column] | None = None) -> DataFrame:
+    """_k, _s, _size, source_size, target and copies of each row, and the columns `also`. Only these narrow rows are sorted; each text is counted once."""
     tag = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), count_words(F.col(text)).alias("_size"), tag.alias("_tag"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    if not keep:  # a narrow table, so that the range sort's sample doesn't count the words once more
-        rows = scratch.save(rows, "sizes")
-    rows = ranked(rows, "_s", ["_size", "_tag", "_k"], scratch)
+    rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), count_words(F.col(text)).alias("_size"), tag.alias("_tag"), *(c.alias(n) for n, c in (also or {}).items()))
+    rows = ranked(scratch.save(rows, "sizes"), "_s", ["_size", "_tag", "_k"], scratch)
     aims = targets(rows.groupBy(F.col("_s").alias("source")).agg(F.sum("_size").alias("source_size"))).withColumnRenamed("source", "_t")
     rows = rows.join(aims, F.col("_s").eqNullSafe(F.col("_t")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -44,12 +43,25 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 7, key: str = "doc_id", t
 
     Each row expects target / source_size copies. Within a source the rows stand by size and then by a seeded hash; the running sum of expectations starts at one random offset a source, and a row is emitted once for each whole number that its step crosses. Neighbours have like sizes, so a source's words come near its target. No row has more than 3 copies. Null texts have no words; null sources are one source; ties and repeated rows are interchangeable; the result depends on the seed and the rows only. An empty table gives no rows. Sources of no words get no copies. Other columns aren't read.
     """
-    rows = _decide(docs, scratch, seed, key, text, source, [])
+    rows = _decide(docs, scratch, seed, key, text, source)
     return rows.select(F.col("_k").alias(key), F.col("_s").alias(source), F.col("_size").alias("size"), "source_size", "target", "copies")
 
 
+def _placed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with _file and _row, the place that each row is read from. What isn't read from files is written first."""
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return scratch.save(docs, "docs").select("*", *place)
+
+
 def emit(docs: DataFrame, scratch: Scratch, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of docs, with all its columns, `copies` times."""
-    rows = _decide(docs, scratch, seed, key, text, source, docs.columns).where("copies > 0")
-    row = F.struct(*(F.col(f"_keep_{c}").alias(c) for c in docs.columns))
-    return rows.select(F.explode(F.array_repeat(row, F.col("copies").cast("int"))).alias("row")).select("row.*")
+    """The mix itself: each row of docs, with all its columns, `copies` times. Rows are as in mix(): null texts and rows of sources without words get no copy, ties and repeated rows are interchangeable, other columns may have any name, an empty table gives no rows.
+
+    Numbers of copies are decided on narrow rows and joined back by the place that a row was read from, so whole texts move once, and are dealt evenly whatever their sizes.
+    """
+    placed = _placed(docs, scratch)
+    taken = _decide(placed, scratch, seed, key, text, source, {"_file": F.col("_file"), "_row": F.col("_row")}).where("copies > 0").select("_file", "_row", "copies")
+    rows = placed.select(F.struct(*docs.columns).alias("row"), "_file", "_row").join(taken, ["_file", "_row"])
+    return rows.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")

@@ -17,22 +17,21 @@ BUCKETS = 1 << HASH_BITS
 DIM = 8
 EPOCHS = 6
 RATE = 0.5
-#: Bounds of the training sample: rows by least hash of the key, and the longest text taken into it.
+#: Bound of the training sample: labelled documents, those of the least key hashes.
 SAMPLE_ROWS = 5000
-SAMPLE_CHARS = 30_000
 THRESHOLD = 0.7
+#: Bytes of a text that are looked at at once. Features don't depend on it.
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _WORD = 0x100000001B3, 1 << 64
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^i and B^-i modulo 2^64."""
-    b = 0x100000001B3
-    inverse = pow(b, -1, 1 << 64)
-    return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, v, np.uint64)))) for v in (b, inverse))
+    return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, v, np.uint64)))) for v in (_BASE, pow(_BASE, -1, _WORD)))
 
 
 _UP, _DOWN = _powers(CHUNK + 64)
@@ -44,45 +43,56 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     return ((x * _MULT) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
 
 
-def _chunks(raw: bytes):
-    """raw in pieces of at most CHUNK bytes, cut at white space where there is any."""
-    at = 0
-    while len(raw) - at > CHUNK:
-        end = max(raw.rfind(b" ", at + 1, at + CHUNK), raw.rfind(b"\n", at + 1, at + CHUNK))
-        end = end if end > at else at + CHUNK
-        yield raw[at:end]
-        at = end
-    yield raw[at:]
-
-
 def features(raw: bytes | None) -> np.ndarray:
-    """The buckets of all features of a text in UTF-8, repeats included; one constant feature if it has no words."""
-    out = [_features(c) for c in _chunks(raw or b"")]
-    out = np.concatenate(out)
-    return out if len(out) else np.zeros(1, np.int32)
-
-
-def _features(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(b" " + raw + b" ", np.uint8)
-    space = _SPACE[b]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.int32)
-    c = np.where(space, 32, b).astype(np.uint64)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * _UP[: len(c)])))
-    words = (prefix[ends] - prefix[starts]) * _DOWN[starts]
-    grams = []
-    small = c.astype(np.uint32)
-    # an n-gram has white space at its ends only, as the edge of a word
-    three = small[:-2] | small[1:-1] << np.uint32(8) | small[2:] << np.uint32(16)
-    inner = ~space[1:-1]
-    grams.append(_bucket(three[inner].astype(np.uint64), 3))
-    four = three[:-1].astype(np.uint64) | c[3:] << np.uint64(24)
-    grams.append(_bucket(four[inner[:-1] & inner[1:]], 4))
-    again = words[1:] == words[:-1]
-    pairs = np.where(again, np.uint64(7), words[1:] * np.uint64(3) + words[:-1])
-    return np.concatenate((_bucket(words, 1), *grams, _bucket(pairs, 2)))
+    """The buckets of all features of a text in UTF-8, repeats included; one constant feature if it has no words.
+
+    A word's hash is the sum of (byte + 1) * B^place. A chunk hands on what the next one needs: its last three bytes, the hash and length of a word that isn't at its end, and the hash of the last whole word.
+    """
+    data, out = b" " + (raw or b"") + b" ", []
+    open_hash, open_size, last = 0, 0, None
+    for at in range(0, len(data), CHUNK):
+        back = min(at, 3)
+        b = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - at) + back, at - back)
+        space = _SPACE[b]
+        c = np.where(space, 32, b).astype(np.uint64)
+        # an n-gram has white space at its ends only, as the edge of a word; those that end before the chunk are in the last one
+        small, inner = c.astype(np.uint32), ~space[1:-1]
+        three = small[:-2] | small[1:-1] << np.uint32(8) | small[2:] << np.uint32(16)
+        new = max(0, back - 2)
+        out.append(_bucket(three[new:][inner[new:]].astype(np.uint64), 3))
+        four = three[:-1].astype(np.uint64) | c[3:] << np.uint64(24)
+        out.append(_bucket(four[inner[:-1] & inner[1:]], 4))
+        space, c = space[back:], c[back:]
+        before = np.concatenate(([open_size == 0], space[:-1]))
+        starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * _UP[: len(c)])))
+        if open_size:
+            upto = int(ends[0]) if len(ends) else len(c)
+            open_hash = (open_hash + pow(_BASE, open_size, _WORD) * int(sums[upto])) % _WORD
+            open_size += upto
+        words = []
+        if open_size and len(ends):
+            words, ends = [np.array([open_hash], np.uint64)], ends[1:]
+            open_size = 0
+        whole = starts[: len(ends)]
+        words.append((sums[ends] - sums[whole]) * _DOWN[whole])
+        if len(starts) > len(ends):
+            k = int(starts[-1])
+            open_hash, open_size = int(((sums[-1:] - sums[k : k + 1]) * _DOWN[k])[0]), len(c) - k
+        words = np.concatenate(words)
+        if len(words):
+            out.append(_bucket(words, 1))
+            line = words if last is None else np.concatenate((last, words))
+            again = line[1:] == line[:-1]
+            out.append(_bucket(np.where(again, np.uint64(7), line[1:] * np.uint64(3) + line[:-1]), 2))
+            last = words[-1:]
+    return np.concatenate(out) if last is not None else np.zeros(1, np.int32)
+
+
+def bag(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of a text, at most one a bucket, and how often it has each."""
+    ids, n = np.unique(features(raw), return_counts=True)
+    return ids, n.astype(np.int32)
 
 
 class Model:
@@ -96,15 +106,12 @@ class Model:
         return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
 
 
-def train(texts: list[bytes | None], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
-    """Vectors and a two-class softmax by stochastic gradient descent, one document a step, at a falling rate. Classes weigh the same in sum. Without both classes the score is constant."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
+    """Vectors and a two-class softmax by stochastic gradient descent over bag()s, one document a step, at a falling rate. Classes weigh the same in sum. Without both classes the score is constant."""
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
-    bags = []
-    for t in texts:
-        ids, n = np.unique(features(t), return_counts=True)
-        bags.append((ids, (n / n.sum()).astype(np.float32)))
+    bags = [(ids, (n / n.sum()).astype(np.float32)) for ids, n in bags]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -136,17 +143,33 @@ def fold(key: Column) -> Column:
 HELD_OUT = 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Train on at most `rows` labelled documents outside the held-out fold, those with the least key hashes, among texts up to `chars` characters. Documents with contradicting labels and rows with a null label or key are left out."""
-    known = labels.where(F.col(label).isin(0, 1) & (fold(F.col(key)) != HELD_OUT)).groupBy(key).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z").select(key, "_y")
-    least = known.withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(rows)
-    sample = docs.where(F.length(text) <= chars).select(key, F.col(text).cast("binary").alias("_t")).join(F.broadcast(least), key).orderBy("_h", key, F.xxhash64("_t")).limit(rows)
-    got = sample.select("_t", "_y").collect()
-    return train([bytes(r["_t"]) for r in got], [r["_y"] for r in got])
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
+    """Train on the whole texts of at most `rows` labelled documents outside the held-out fold: those with the least key hashes among the labelled keys that have a document. Keys with contradicting labels and rows with a null label or key are left out; of several texts of a key one is taken. Texts become bags of features on the executors, so what comes to the driver is bounded by `rows` and the buckets, however long texts are. Null texts count as empty."""
+    prepare(docs.sparkSession)
+    known = labels.where(F.col(label).isin(0, 1) & (fold(F.col(key)) != HELD_OUT)).groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z").select("_k", "_y")
+    raw = docs.select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t")).where("_k IS NOT NULL")
+    hashed = raw.select("_k", F.xxhash64("_t").alias("_th")).join(known, "_k").groupBy("_k").agg(F.min("_th").alias("_th"), F.min("_y").alias("_y"))
+    picked = hashed.withColumn("_h", F.xxhash64("_k")).orderBy("_h", "_k").limit(rows).collect()
+    if not picked:
+        return train([], [])
+    place = docs.sparkSession.createDataFrame([(r["_k"], r["_th"], k) for k, r in enumerate(picked)], f"_k {dict(raw.dtypes)['_k']}, _th long, _place int")
+    sample = raw.withColumn("_th", F.xxhash64("_t")).join(F.broadcast(place), ["_k", "_th"]).select("_place", "_t").dropDuplicates(["_place"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, n = bag(b.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int32()))], ["place", "ids", "n"])
+
+    got = sample.mapInArrow(run, "place int, ids array<int>, n array<int>").toArrow().sort_by("place")
+    ids, n = (got[c].combine_chunks() for c in ("ids", "n"))
+    return train([(ids[k].values.to_numpy(), n[k].values.to_numpy()) for k in range(len(ids))], [picked[p]["_y"] for p in got["place"].to_pylist()])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a column `score`, from 0 to 1: how likely label 1 is, from the whole text alone."""
+    """docs with a column `score`, from 0 to 1: how likely label 1 is, from the whole text alone. Null and empty texts have the score of a text without words; equal texts have equal scores; an empty table stays empty. A column `score` of docs is replaced."""
     weights, bias = model.weights, model.bias
     prepare(docs.sparkSession)
 
@@ -169,6 +192,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, k
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that score `threshold` or more, as they are."""
+    """The rows of docs that score `threshold` or more, as they are: all their columns, whatever their names, and all repeats. Rows with a null key or text are scored like others."""
     bare = docs.select(F.col(text).alias("t"), F.struct(*docs.columns).alias("row"))
     return score(bare, fit(docs, labels, key, text), "t").where(F.col("score") >= threshold).select("row.*")

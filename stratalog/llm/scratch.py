@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set. Else, on one machine, a temporary folder, and on a cluster the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/stratalog" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
-
+from stratalog.sources.workspace import remove, ship_package, workspace
 
 #: Rows and bytes of a batch that goes to Python at once. Texts have no bound, and Spark's own limit of 10,000 rows does.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Set the session's Arrow batches to sizes fit for whole texts, unless they are smaller already."""
+    """Set the session's Arrow batches to sizes fit for whole texts, unless they are smaller already. The setting stays, because results are lazy: it must hold when they are computed."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(spark.conf.get(key, str(most + 1)).rstrip("b"))
         if not 0 < now <= most:
@@ -39,30 +26,13 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give executors this package as a file of the session, once, unless PYTHONPATH has it for them too."""
-    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    folder = tempfile.mkdtemp()  # the driver's file server reads it until the session ends
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/stratalog.zip", "w") as z:
-        for p in sorted((root / "stratalog").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(f"{folder}/stratalog.zip")
-
-
 class Scratch:
-    """One folder of written tables. A written table is read again after the loss of any executor, and cuts the lineage."""
+    """One folder of written tables. A written table is read again after the loss of any executor, and cuts the lineage. The folder goes with delete(), or else as the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         prepare(spark)
-        self.path = f"{shared_root(spark)}/scratch-{uuid.uuid4().hex}"
+        self.path = workspace(spark, "scratch")
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
@@ -70,5 +40,4 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def delete(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)

@@ -1,10 +1,11 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-The 64 bits are dealt into m groups with correlated bits together. If group thresholds t_i (from -1) add up to k - m + 1, then two fingerprints that differ in k bits or fewer differ in at most t_i bits of some group i. Each group is probed with all values within its own threshold, and what shares a value is verified on all 64 bits. m and the thresholds come from a dynamic programme over estimated numbers of probes and candidates.
+Fingerprints only find candidates where a similarity is asked for: pairs are then linked by the exact Jaccard similarity of their sets of shingles. The 64 bits are dealt into m groups with correlated bits together. If group thresholds t_i (from -1) add up to k - m + 1, then two fingerprints that differ in k bits or fewer differ in at most t_i bits of some group i. Each group is probed with all values within its own threshold, and what shares a value is verified on all 64 bits. m and the thresholds come from a dynamic programme over estimated numbers of probes and candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import comb
 
@@ -24,20 +25,24 @@ PROBE_COST = 20
 GROUP_COUNTS = (2, 3, 4, 5)
 
 
-def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text in UTF-8, as a signed 64-bit number. A-Z count as a-z; a text without words has 0."""
+def shingle_hashes(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included. A-Z count as a-z; a text of fewer words is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
     words = raw.lower().split() if raw else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     text = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxh64_intdigest(text, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = np.array([xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([xxh64_intdigest(text, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text in UTF-8, as a signed 64-bit number; a text without words has 0."""
+    hashes = shingle_hashes(raw, shingle)
     votes = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 8192):
         part = hashes[k : k + 8192]
@@ -172,49 +177,84 @@ def _differ(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def link(fps: DataFrame, scratch: Scratch, k: int = DISTANCE) -> DataFrame:
-    """(fp, head) of distinct fingerprints to (fp, root): the least fingerprint reached over links of k bits or fewer, for each fingerprint.
+def _centres(members: DataFrame, voted: bool) -> DataFrame:
+    """(i, v, centre, fc) of each group value that several nodes have: the node of most rows, or, if voted, that nearest to the fingerprint whose bits most of them have, which near copies of one text have in common with it."""
+    if not voted:
+        best = members.groupBy("i", "v").agg(F.max(F.struct("n", "id", "fp")).alias("c"), F.count("*").alias("size"))
+        return best.where("size > 1").select("i", "v", F.col("c.id").alias("centre"), F.col("c.fp").alias("fc"))
+    votes = members.groupBy("i", "v").agg(F.count("*").alias("size"), *(F.sum(F.expr(f"shiftright(fp, {b}) & 1L")).alias(f"b{b}") for b in range(BITS))).where("size > 1")
+    common = reduce(Column.bitwiseOR, (F.when(2 * F.col(f"b{b}") > F.col("size"), F.lit(_mask([b])).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(BITS)))
+    near = split_join(members, votes.select("i", "v", common.alias("common")), ["i", "v"])
+    best = near.groupBy("i", "v").agg(F.min(F.struct(_differ("fp", "common").alias("d"), "id", "fp")).alias("c"))
+    return best.select("i", "v", F.col("c.id").alias("centre"), F.col("c.fp").alias("fc"))
 
-    First every group value's members link to the member with most documents, if near enough: a dense cluster then is one component by few edges. The full probe and verification follow for pairs of different components only, and give component pairs, so that no cluster's pairs are all written out.
+
+def link(nodes: DataFrame, scratch: Scratch, k: int = DISTANCE, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, fp, n) of different ids to (id, root): the least id reached over links, for each id. A link is two fingerprints of k bits or fewer between them and, with `confirm`, that this keeps their row of (a, b, la, lb).
+
+    First every group value's nodes link to its centre: a dense cluster then is one component by few edges. The full probe and verification follow for pairs of different components only, so that no cluster's pairs are all written out.
     """
-    groups = plan(fps, k)
-    keyed = lambda df, extra: _union([df.select(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("v"), *extra) for i, (g, t) in enumerate(groups)])
-    members = keyed(fps, ["fp", "n"])
-    centres = members.groupBy("i", "v").agg(F.max(F.struct("n", "fp")).alias("c"), F.count("*").alias("size")).where("size > 1").select("i", "v", F.col("c.fp").alias("centre"))
-    twin = F.pmod(F.hash("v"), F.lit(1 << 20))
-    near = members.withColumn("w", twin).join(centres.withColumn("w", twin), ["i", "v", "w"]).where((F.col("fp") != F.col("centre")) & (_differ("fp", "centre") <= k))
-    first = components(near.select(F.col("fp").alias("a"), F.col("centre").alias("b")), scratch)
-    labelled = scratch.save(split_join(fps.select("fp"), first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).select("fp", "label"), "labels")
+    groups = plan(nodes, k)
+    keyed = lambda df, extra: _union([df.select(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("v"), *extra) for i, (g, _) in enumerate(groups)])
+    members = scratch.save(keyed(nodes, ["id", "fp", "n"]), "members")
+    star = split_join(members, _centres(members, confirm is not None), ["i", "v"]).where((F.col("id") != F.col("centre")) & (_differ("fp", "fc") <= k))
+    star = star.select(F.col("id").alias("a"), F.col("centre").alias("b"), F.col("id").alias("la"), F.col("centre").alias("lb")).distinct()
+    first = components((confirm(star) if confirm else star).select("a", "b"), scratch)
+    labelled = scratch.save(split_join(nodes.select("id", "fp"), first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id")).select("id", "fp", "label"), "labels")
 
     used = [(i, g, t) for i, (g, t) in enumerate(groups) if t >= 0]
-    stored = _union([labelled.select(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("v"), F.col("fp").alias("x"), F.col("label").alias("lx")) for i, g, _ in used])
+    stored = _union([labelled.select(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("v"), F.col("id").alias("a"), F.col("fp").alias("x"), F.col("label").alias("la")) for i, g, _ in used])
     flips = lambda g, t: F.explode(F.array(*(F.lit(f).cast("bigint") for f in _flips(g, t))))
-    probes = _union([labelled.select(F.lit(i).alias("i"), "fp", "label", F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("own"), flips(g, t).alias("flip")).select("i", F.col("own").bitwiseXOR(F.col("flip")).alias("v"), F.col("fp").alias("y"), F.col("label").alias("ly")) for i, g, t in used])
-    same = (stored["i"] == probes["i"]) & (stored["v"] == probes["v"]) & (F.col("lx") != F.col("ly")) & (_differ("x", "y") <= k)
-    across = stored.join(probes, same).select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct()
-    second = components(across, scratch).select(F.col("node").alias("label"), "root")
-    return split_join(labelled, second, "label", "left").select("fp", F.coalesce("root", "label").alias("root"))
+    probes = _union([labelled.select(F.lit(i).alias("i"), "id", "fp", "label", F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("own"), flips(g, t).alias("flip")).select("i", F.col("own").bitwiseXOR(F.col("flip")).alias("v"), F.col("id").alias("b"), F.col("fp").alias("y"), F.col("label").alias("lb")) for i, g, t in used])
+    same = (stored["i"] == probes["i"]) & (stored["v"] == probes["v"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (_differ("x", "y") <= k)
+    across = stored.join(probes, same)
+    across = confirm(across.select("a", "b", "la", "lb").distinct()) if confirm else across
+    second = components(across.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), scratch).select(F.col("node").alias("label"), "root")
+    return split_join(labelled, second, "label", "left").select("id", F.coalesce("root", "label").alias("root"))
+
+
+def _similar(docs: DataFrame, scratch: Scratch, shingle: int, similarity: float, text: str) -> Callable[[DataFrame], DataFrame]:
+    """Keeps pairs (a, b, ...) of text hashes whose sets of shingles have that Jaccard similarity. Sets are made for the texts of the pairs only."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([np.unique(shingle_hashes(b.column(1)[k].as_py(), shingle)).view(np.int64)], pa.list_(pa.int64()))], ["th", "s"])
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+        texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t")).join(wanted, "th", "left_semi").dropDuplicates(["th"])
+        sets = scratch.save(texts.mapInArrow(run, "th long, s array<long>"), "sets")
+        for end in ("a", "b"):
+            pairs = split_join(pairs, sets.select(F.col("th").alias(end), F.col("s").alias(f"s{end}")), end)
+        both = F.size(F.array_intersect("sa", "sb"))
+        return pairs.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).drop("sa", "sb")
+
+    return confirm
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = DISTANCE, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = DISTANCE, shingle: int = SHINGLE, similarity: float | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, th, fp, root, component_id, rep) for every row: component_id is the least key reached, rep the (null, key, th) of the one row that stands for the component.
 
-    Null and empty texts and texts without words have fingerprint 0 and link like any other. Equal fingerprints are one node with a count, so groups of copies cost one row each. Rows with a null key never give a component its id unless it has no other. Repeated rows give repeated results. An empty table gives no rows. Other columns aren't read.
+    Fingerprints of at most k bits between them are linked, or, with a similarity, those of them whose sets of shingles have at least that Jaccard similarity. Null and empty texts and texts without words have fingerprint 0 and no shingles; they link with each other, and by fingerprint with any other. Equal fingerprints (with a similarity: equal texts) are one node with a count, so groups of copies cost one row each. Rows with a null key never give a component its id unless it has no other. Repeated rows give repeated results. An empty table gives no rows. Other columns aren't read.
     """
     rows = scratch.save(fingerprints(docs, shingle, key, text), "fingerprints")
     mine = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("th").alias("th"))
-    fps = scratch.save(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(mine).alias("head")), "distinct")
-    roots = link(fps.select("fp", "n"), scratch, k)
-    rooted = split_join(fps.select("fp", "head"), roots, "fp")
-    rooted = scratch.save(rooted, "roots")
+    ident = "fp" if similarity is None else "th"
+    nodes = scratch.save(rows.groupBy(F.col(ident).alias("id")).agg(F.min("fp").alias("fp"), F.count("*").alias("n"), F.min(mine).alias("head")), "nodes")
+    roots = link(nodes.select("id", "fp", "n"), scratch, k, None if similarity is None else _similar(docs, scratch, shingle, similarity, text))
+    rooted = scratch.save(split_join(nodes.select("id", "head"), roots, "id"), "roots")
     reps = rooted.groupBy("root").agg(F.min("head").alias("rep"))
-    rooted = split_join(rooted.select("fp", "root"), reps, "root")
-    return split_join(rows, rooted, "fp").withColumn("component_id", F.col("rep.key"))
+    rooted = split_join(rooted.select(F.col("id").alias(ident), "root"), reps, "root")
+    return split_join(rows, rooted, ident).withColumn("component_id", F.col("rep.key"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the least key (then text hash); of equal rows one."""
+    """docs with one row of each near-duplicate group of near_duplicates(): that of the least key (null keys last), then of the least text hash, then of the least hash of all columns; of equal rows one. All columns stay, whatever their names. An empty table gives no rows."""
     found = near_duplicates(docs, scratch, key=key, text=text, **how)
     reps = found.select(F.xxhash64("rep.key").alias("_kh"), F.col("rep.th").alias("_th")).distinct()
-    both = docs.withColumns({"_kh": F.xxhash64(key), "_th": F.xxhash64(text)})
-    return both.join(reps, ["_kh", "_th"], "left_semi").dropDuplicates(["_kh", "_th"]).drop("_kh", "_th")
+    both = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("_all"), F.xxhash64(key).alias("_kh"), F.xxhash64(text).alias("_th"))
+    return both.join(reps, ["_kh", "_th"], "left_semi").groupBy("_kh", "_th").agg(F.min_by("row", "_all").alias("row")).select("row.*")

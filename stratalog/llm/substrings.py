@@ -1,6 +1,8 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
-A window is `window` consecutive words. Windows are reached in two steps. First, every window has an anchor, the least hash of the short word runs in it, so equal windows have equal anchors at equal places, and neighbouring windows mostly share theirs. Stretches of windows with one anchor are compared as wholes: a stretch that another document has too has its least document at once, and only anchors with several different stretches go on. Second, the windows of those stretches become suffixes of five symbols, each a fifth of the window. Variable-length prefixes of symbols split the suffixes into groups that fit in memory: a prefix of too many suffixes is made one symbol longer. In each group the subtree's internal nodes as deep as a window are the repeats, and a node's least document keeps its copy.
+A window is `window` consecutive words, and a repeat is a run of words of at least that length that several documents have. Suffixes that can't be in one are sorted out first: every window has an anchor, the least hash of the short word runs (grams) in it, so equal windows have equal anchors at equal places, and neighbouring windows mostly share theirs. A stretch is the windows of one anchor, and only stretches whose anchor stands in two documents go on. Equal stretches are one leaf with its least document, at which all others have a repeat, so copies of any number cost one row in a tree.
+
+What is left are leaves of one anchor with different words around it. The anchor's gram is the prefix by which their suffixes are dealt out; each group's suffix array, its common prefixes word by word and its internal nodes are built in memory, and the nodes at least a window deep are the repeats: a node's least document keeps its copy. A prefix of too many leaves is made longer: its windows become suffixes of their own, of five symbols of a fifth of the window each, dealt out by as many symbols as it takes to make the groups small.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.graph import split_join
 from stratalog.llm.scratch import Scratch
 
 WINDOW = 50
 GRAM = 8
 SYMBOLS = 5
-#: Suffixes of a group, and of one prefix before it grows longer.
+#: Leaves of a group and of one anchor; suffixes of symbols of a group and of one prefix before it grows longer.
+LEAVES, ANCHOR = 1_000, 500
 GROUP, PREFIX = 20_000, 5_000
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -49,9 +53,19 @@ class Words:
 
         words = raw.split() if raw else []
         self.n = len(words)
-        self.hash = np.fromiter(map(xxh64_intdigest, words), np.uint64, self.n)
+        self._sum(np.fromiter(map(xxh64_intdigest, words), np.uint64, self.n))
+
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> Words:
+        w = cls.__new__(cls)
+        w.n = len(hashes)
+        w._sum(hashes)
+        return w
+
+    def _sum(self, hashes: np.ndarray) -> None:
+        self.hash = hashes
         up, self.down = powers(self.n + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hash * up[: self.n])))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: self.n])))
 
     def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of the words from start up to end, wherever they stand."""
@@ -74,47 +88,82 @@ def stretches(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
     return grams[least[start]].view(np.int64), content.view(np.int64), start.astype(np.int32), count.astype(np.int32)
 
 
-def symbols(words: Words, start: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """The symbols of the windows that start at the given words."""
-    cuts = [window * k // SYMBOLS for k in range(SYMBOLS + 1)]
-    return [words.stretch(start + a, start + b).view(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def subtree(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): the suffixes sorted, and how many symbols each shares with the one before it (the first with none)."""
-    order = np.lexsort(sym[:, ::-1].T)
-    s = sym[order]
-    differ = s[1:] != s[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), sym.shape[1])
-    return order, np.concatenate(([0], common))
-
-
-def internal_nodes(common: np.ndarray) -> list[tuple[int, int, int]]:
-    """(depth, first, end) of the subtree's internal nodes over the sorted suffixes, deepest first in each place."""
+def suffix_array(words: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): all suffixes of a row of sequences, each up to the end of its own (ends[i] is that of place i), in the order of their first `depth` words, and how many words each shares with the one before it, up to `depth`. Ranks of 1, 2, 4, ... words are made from pairs of those before."""
+    n = len(words)
+    at = np.arange(n)
+    left = ends - at
+    ranks = [np.unique(words, return_inverse=True)[1].astype(np.int64) + 1]  # 0 stands for what is beyond the end
+
+    def beyond(r: np.ndarray, k: int) -> np.ndarray:
+        return np.where(left > k, r[np.minimum(at + k, n - 1)], 0)
+
+    while 2 ** len(ranks) <= depth:
+        k = 2 ** (len(ranks) - 1)
+        ranks.append(np.unique(ranks[-1] * (n + 1) + beyond(ranks[-1], k), return_inverse=True)[1].astype(np.int64) + 1)
+    k = depth - 2 ** (len(ranks) - 1)
+    whole = ranks[-1] * (n + 1) + beyond(ranks[-1], k) if k else ranks[-1]
+    order = np.argsort(whole, kind="stable")
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(a), np.int64)
+    for j in range(len(ranks) - 1, -1, -1):
+        for _ in range(2 if j == len(ranks) - 1 else 1):
+            step, x, y = 1 << j, a + common, b + common
+            fits = (common + step <= depth) & (common + step <= left[a]) & (common + step <= left[b])
+            x, y = np.minimum(x, n - 1), np.minimum(y, n - 1)
+            common += step * (fits & (ranks[j][x] == ranks[j][y]))
+    return order, np.concatenate(([0], common))[:n]
+
+
+def internal_nodes(common: np.ndarray, depth: int = 1) -> list[tuple[int, int, int]]:
+    """(depth, first, end) of the tree's internal nodes of at least that depth over the sorted suffixes, deepest first in each place."""
     out: list[tuple[int, int, int]] = []
     stack: list[tuple[int, int]] = []
-    for k, depth in enumerate([*common.tolist(), 0]):
+    for k, d in enumerate([*common.tolist(), 0]):
         first = k - 1
-        while stack and stack[-1][0] > depth:
-            d, first = stack.pop()
-            out.append((d, first, k))
-        if depth and (not stack or stack[-1][0] < depth):
-            stack.append((depth, first))
+        while stack and stack[-1][0] > d:
+            deep, first = stack.pop()
+            out.append((deep, first, k))
+        if d >= depth and (not stack or stack[-1][0] < d):
+            stack.append((d, first))
     return out
 
 
-def least_in_deep_nodes(sym: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each suffix the least document of its node of full depth, itself if it is a leaf above that depth."""
-    order, common = subtree(sym)
-    first = np.flatnonzero(common < sym.shape[1])
-    least = np.minimum.reduceat(doc[order], first)
-    out = np.empty_like(doc)
-    out[order] = np.repeat(least, np.diff(np.concatenate((first, [len(doc)]))))
+def least_in_deep_nodes(order: np.ndarray, common: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix the least document of its internal nodes of at least that depth, its own if it is in none."""
+    out, sorted_docs = doc.copy(), doc[order]
+    for _, first, end in internal_nodes(np.minimum(common, depth), depth):  # nodes below one of that depth have no smaller documents
+        out[order[first:end]] = sorted_docs[first:end].min()
     return out
 
 
+def leaf_repeats(leaves: list[np.ndarray], doc: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(leaf, first, count): runs of windows of a leaf that a leaf of a smaller document has too, from a suffix tree over all leaves. A run's words are its maximal repeat within the leaf: count + window - 1 of them."""
+    sizes = np.array([len(x) for x in leaves])
+    close = np.cumsum(sizes)
+    leaf = np.repeat(np.arange(len(leaves)), sizes)
+    order, common = suffix_array(np.concatenate(leaves), np.repeat(close, sizes), window)
+    least = least_in_deep_nodes(order, common, doc[leaf], window)
+    hit = np.flatnonzero(least < doc[leaf])
+    if not len(hit):
+        return []
+    new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (leaf[hit[1:]] != leaf[hit[:-1]])))
+    first = hit[new]
+    count = np.diff(np.concatenate((np.flatnonzero(new), [len(hit)])))
+    return list(zip(leaf[first].tolist(), (first - (close - sizes)[leaf[first]]).tolist(), count.tolist(), strict=True))
+
+
+def _ranked(keys) -> np.ndarray:
+    """Keys of any orderable type as whole numbers in their order."""
+    import pyarrow as pa
+
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    values = keys.to_numpy(zero_copy_only=False)
+    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t"))
+    return docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t"))
 
 
 def _stretch_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -134,11 +183,11 @@ def _stretch_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 repeat = np.repeat(np.arange(part.num_rows), sizes)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(repeat)), part.column(1).take(pa.array(repeat)), *(pa.array(np.concatenate(c)) for c in cols)], ["doc", "th", "anchor", "content", "start", "count"])
 
-    return docs.where("doc IS NOT NULL").mapInArrow(run, "doc long, th long, anchor long, content long, start int, count int")
+    return docs.where("doc IS NOT NULL").mapInArrow(run, f"doc {dict(docs.dtypes)['doc']}, th long, anchor long, content long, start int, count int")
 
 
-def _suffix_rows(picked: DataFrame, window: int) -> DataFrame:
-    """picked is (doc, th, t, places), places an array of (start, count); gives a row for each of their windows."""
+def _leaf_rows(picked: DataFrame, window: int) -> DataFrame:
+    """picked is (doc, th, t, places), places an array of (start, count, anchor, hot); gives each place with the hashes of its words."""
 
     def run(batches):
         import pyarrow as pa
@@ -146,19 +195,60 @@ def _suffix_rows(picked: DataFrame, window: int) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 places = b.column(3)[k].values
-                first, count = (places.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
-                start = np.unique(np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 words = Words(b.column(2)[k].as_py())
-                for at in range(0, len(start), 1 << 16):
-                    part = start[at : at + (1 << 16)]
-                    same = [pa.array(np.full(len(part), b.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(part.astype(np.int32)), *map(pa.array, symbols(words, part, window))], ["doc", "th", "pos", *(f"s{j}" for j in range(SYMBOLS))])
+                start, count = (places.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+                for at in range(0, len(start), 2048):
+                    some = slice(at, at + 2048)
+                    hashes = [words.hash[a : a + n + window - 1].view(np.int64) for a, n in zip(start[some].tolist(), count[some].tolist(), strict=True)]
+                    same = [b.column(c).take(pa.array([k] * len(hashes))) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*same, *(places.field(c).slice(at, len(hashes)) for c in (0, 2, 3)), pa.array(hashes, pa.list_(pa.int64()))], ["doc", "th", "start", "anchor", "hot", "words"])
+
+    return picked.mapInArrow(run, f"doc {dict(picked.dtypes)['doc']}, th long, start int, anchor long, hot boolean, words array<long>")
+
+
+def _suffix_rows(leaves: DataFrame, window: int) -> DataFrame:
+    """A row of symbols for each window of the leaves."""
+    cuts = [window * k // SYMBOLS for k in range(SYMBOLS + 1)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(b.num_rows):
+                hashes = b.column(3)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                words = Words.of(hashes)
+                at = np.arange(len(hashes) - window + 1)
+                sym = [words.stretch(at + x, at + y).view(np.int64) for x, y in zip(cuts, cuts[1:], strict=False)]
+                same = [b.column(c).take(pa.array(np.full(len(at), k))) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array((at + b.column(2)[k].as_py()).astype(np.int32)), *map(pa.array, sym)], ["doc", "th", "pos", *(f"s{j}" for j in range(SYMBOLS))])
+
+    return leaves.select("doc", "th", "start", "words").mapInArrow(run, f"doc {dict(leaves.dtypes)['doc']}, th long, pos int, " + ", ".join(f"s{j} long" for j in range(SYMBOLS)))
 
-    return picked.mapInArrow(run, "doc long, th long, pos int, " + ", ".join(f"s{j} long" for j in range(SYMBOLS)))
 
+def _anchor_trees(leaves: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(doc, th, start, count) of the repeats in groups of whole anchors: one tree a group, as windows of different anchors differ."""
 
-def _tree_marks(suffixes: DataFrame, scratch: Scratch, group: int, limit: int) -> DataFrame:
-    """(doc, th, pos) of windows that a smaller document has too."""
+    def run(table):
+        import pyarrow as pa
+
+        if not table.num_rows:
+            return pa.table({"doc": table["doc"], "th": table["th"], "start": table["start"], "count": table["start"]})
+        table = table.combine_chunks()
+        words, offsets = (x.to_numpy(zero_copy_only=False) for x in (table["words"].chunk(0).values, table["words"].chunk(0).offsets))
+        leaves = [words[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        found = leaf_repeats(leaves, _ranked(table["doc"]), window)
+        rows = [leaf for leaf, _, _ in found]
+        firsts = table["start"].to_numpy()[rows] + np.array([first for _, first, _ in found], np.int32) if found else []
+        counts = [count for _, _, count in found]
+        got = table.select(["doc", "th"]).take(pa.array(rows, pa.int64()))
+        return got.append_column("start", pa.array(firsts, pa.int32())).append_column("count", pa.array(counts, pa.int32()))
+
+    dealt = leaves.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(run, f"doc {dict(leaves.dtypes)['doc']}, th long, start int, count int")
+
+
+def _symbol_trees(suffixes: DataFrame, scratch: Scratch, group: int, limit: int) -> DataFrame:
+    """(doc, th, start, count) of windows that a smaller document has too, from suffixes of symbols under variable-length prefixes."""
     syms = [f"s{j}" for j in range(SYMBOLS)]
     rows, full = suffixes.withColumn("prefix", F.xxhash64("s0")), None
     for j in range(1, SYMBOLS + 1):
@@ -174,36 +264,43 @@ def _tree_marks(suffixes: DataFrame, scratch: Scratch, group: int, limit: int) -
     def run(table):
         import pyarrow as pa
 
-        sym = np.column_stack([table[s].to_numpy() for s in syms])
-        doc = table["doc"].to_numpy()
-        return table.select(["doc", "th", "pos"]).filter(pa.array(least_in_deep_nodes(sym, doc) < doc))
+        sym, doc = np.column_stack([table[s].to_numpy() for s in syms]), _ranked(table["doc"])
+        order = np.lexsort(sym[:, ::-1].T)
+        differ = sym[order][1:] != sym[order][:-1]
+        common = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), SYMBOLS)))
+        return table.select(["doc", "th", "pos"]).filter(pa.array(least_in_deep_nodes(order, common, doc, SYMBOLS) < doc))
 
     n = suffixes.count()
-    marks = rows.withColumn("bucket", F.pmod("prefix", F.lit(max(1, -(-n // group))))).groupBy("bucket").applyInArrow(run, "doc long, th long, pos int")
+    marks = rows.withColumn("bucket", F.pmod("prefix", F.lit(max(1, -(-n // group))))).groupBy("bucket").applyInArrow(run, f"doc {dict(suffixes.dtypes)['doc']}, th long, pos int")
     if full is not None:
-        least = full.groupBy(*syms).agg(F.min("doc").alias("m")).withColumn("twin", F.pmod(F.hash("s0"), F.lit(1 << 20)))
-        again = full.withColumn("twin", F.pmod(F.hash("s0"), F.lit(1 << 20))).join(least, [*syms, "twin"]).where("m < doc").select("doc", "th", "pos")
-        marks = marks.unionByName(again)
-    return marks
+        least = full.groupBy(*syms).agg(F.min("doc").alias("m"))
+        marks = marks.unionByName(split_join(full, least, syms).where("m < doc").select("doc", "th", "pos"))
+    return marks.select("doc", "th", F.col("pos").alias("start"), F.lit(1).alias("count"))
 
 
-def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, limit: int = PREFIX, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, th, places): for each document (its key and text hash) the windows that a document of a smaller key has too, as (start, count) runs of window starts."""
-    base = _rows(docs, key, text)
-    found = scratch.save(_stretch_rows(base, window, gram), "stretches")
+def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, leaves: int = LEAVES, anchor: int = ANCHOR, group: int = GROUP, limit: int = PREFIX, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, th, places): for each document (its key and text hash) the windows that a document of a smaller key has too, as (start, count) runs of window starts. Keys are of any type with an order; null keys, and documents of fewer words than a window, have none. An empty table gives no rows."""
+    work, base = Scratch(docs.sparkSession), _rows(docs, key, text)
+    found = work.save(_stretch_rows(base, window, gram), "stretches")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("low < high").select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"))
-    twin = F.pmod(F.hash("anchor"), F.lit(1 << 20))
-    near = scratch.save(found.withColumn("w", twin).join(shared.withColumn("w", twin), ["anchor", "w"]).drop("w").distinct(), "shared")
+    near = work.save(split_join(found, shared, "anchor").distinct(), "shared")
     owners = near.groupBy("anchor", "content").agg(F.min("doc").alias("owner"))
-    near = scratch.save(near.withColumn("w", twin).join(owners.withColumn("w", twin), ["anchor", "content", "w"]).select("doc", "th", "start", "count", "mixed", "owner"), "owned")
-
-    # a stretch that a smaller document has is all repeats; the rest of its windows can be in other stretches
-    places = near.where("mixed AND doc = owner").groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "count"))).alias("places"))
-    picked = base.join(places, ["doc", "th"]).select("doc", "th", "t", "places")
-    suffixes = scratch.save(_suffix_rows(picked, window), "suffixes")
-    marks = _tree_marks(suffixes, scratch, group, limit).select("doc", "th", F.col("pos").alias("start"), F.lit(1).alias("count"))
+    near = work.save(split_join(near, owners, ["anchor", "content"]).select("doc", "th", "anchor", "start", "count", "mixed", "owner"), "owned")
+
+    # a leaf's other documents have it whole from its least one, whose own windows can be in other leaves
+    own = near.where("mixed AND doc = owner").select("doc", "th", "anchor", "start", "count")
+    sizes = own.groupBy("anchor").agg((F.count("*") > anchor).alias("hot"))
+    places = split_join(own, sizes, "anchor").groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "count", "anchor", "hot"))).alias("places"))
+    picked = base.join(places, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "t", "places")
+    rows = work.save(_leaf_rows(picked, window), "leaves")
+    n = rows.where("NOT hot").count()
+    marks = _anchor_trees(rows.where("NOT hot").drop("hot"), window, max(1, -(-n // leaves)))
+    if not rows.where("hot").isEmpty():
+        marks = marks.unionByName(_symbol_trees(work.save(_suffix_rows(rows.where("hot"), window), "suffixes"), work, group, limit))
     whole = near.where("doc > owner").select("doc", "th", "start", "count")
-    return scratch.save(whole.unionByName(marks).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "count")).alias("places")), "repeats")
+    out = scratch.save(whole.unionByName(marks).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "count")).alias("places")), "repeats")
+    work.delete()
+    return out
 
 
 def covered(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -217,16 +314,15 @@ def covered(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.n
 def deduplicate(docs: DataFrame, scratch: Scratch, window: int = WINDOW, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with text less its repeats, and columns n_words, n_removed and kept_sha256.
 
-    A word goes if it lies in a window whose words also start in a document of a smaller key; windows are judged on the input. What stays of a text that loses words is joined by one space; other texts stay as they are. kept_sha256 is that of the kept words joined by one space. Null texts have no words and stay null. Rows of a null key keep all and take nothing from others; rows of one key don't take from each other, so repeated rows end alike. Texts of fewer words than a window have none. Keys are integers. Columns of the new names are replaced. An empty table gives no rows.
+    A word goes if it lies in a window whose words also start in a document of a smaller key; windows are judged on the input. What stays of a text that loses words is joined by one space; other texts stay as they are. kept_sha256 is that of the kept words joined by one space. Null texts have no words and stay null. Rows of a null key keep all and take nothing from others; rows of one key don't take from each other, so repeated rows end alike. Texts of fewer words than a window have none; texts of any length are taken whole. Keys are of any type with an order. Columns of the new names are replaced. An empty table gives no rows.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     marks = repeats(docs, scratch, window, key=key, text=text, **how)
     kind = docs.schema[text].dataType.simpleString()
     names = docs.columns
-    twin = F.pmod(F.hash("_th"), F.lit(1 << 20))
-    left = docs.withColumns({text: F.col(text).cast("binary"), "_th": F.xxhash64(text), "_doc": F.col(key).cast("long")})
+    left = docs.withColumns({text: F.col(text).cast("binary"), "_th": F.xxhash64(text), "_doc": F.col(key)})
     right = marks.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("places").alias("_places"))
-    joined = left.withColumn("_w", twin).join(right.withColumn("_w", twin), ["_doc", "_th", "_w"], "left").select(*names, "_places")
+    joined = split_join(left, right, ["_doc", "_th"], "left").select(*names, "_places")
     at = names.index(text)
 
     def run(batches):

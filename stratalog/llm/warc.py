@@ -10,12 +10,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.graph import split_join
 from stratalog.llm.scratch import Scratch
+from stratalog.sources.workspace import arrow_folder
 
 FILE_BYTES = 256 << 20
 #: Ranges this near to each other are read at once, up to so many bytes (or one record, if it is larger).
@@ -49,11 +51,13 @@ def record(page, url: str | None, payload: bytes, digest: str, refers_to=None) -
     revisit = refers_to is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page, digest)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"X-Page-ID: {'' if page is None else page}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page, digest)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response"]
+    if page is not None:
+        lines.append(f"X-Page-ID: {quote(str(page))}")
     if url is not None:
         lines.append(f"WARC-Target-URI: {_safe(url)}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {quote(str(refers_to))}"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -72,22 +76,13 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http.decode().split("\r\n")[1:]), body
 
 
-def _open(uri: str):
-    """(file system, path) of a folder's URI, for Python code on executors."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def write(records: DataFrame, folder: str, key_type: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """records (page_id, url, payload, refers_to) to archive files and the index rows. Files have fresh names, so a task that runs again leaves only a file that no index row names."""
 
     def run(batches):
         import pyarrow as pa
 
-        files, path = _open(folder)
+        files, path = arrow_folder(folder)
         out, name, at = None, "", 0
         schema = None
         try:
@@ -144,17 +139,20 @@ def _ranges(rows: list[tuple], gap: int, span: int) -> Iterator[list[tuple]]:
 
 
 def read(selected: DataFrame, folder: str, key_type: str, with_payload: bool = False, gap: int = GAP, span: int = SPAN) -> DataFrame:
-    """The records of selected index rows: page_id, payload_bytes, payload_digest, record_type, refers_to and, if wanted, payload (null for revisits). Each response's payload is hashed again and must have the digest of its header and of the index."""
+    """The records of selected index rows: page_id, payload_bytes, payload_digest, record_type, refers_to and, if wanted, payload (null for revisits). Each response's payload is hashed again and must have the digest of its header and of the index.
+
+    Keys of any type that has a text come back as they were, null ones as null and empty ones as empty. Empty payloads are records like any other; repeated index rows give repeated records; an empty selection gives no rows. A reading task holds ranges of `span` bytes, or one record, whatever the tables' sizes.
+    """
 
-    def number(text: str, kind):
+    def key(text: str | None, kind):
         import pyarrow as pa
 
-        return None if text == "" else int(text) if pa.types.is_integer(kind) else text
+        return None if text is None else pa.array([unquote(text)]).cast(kind)[0].as_py()
 
     def run(batches):
         import pyarrow as pa
 
-        files, path = _open(folder)
+        files, path = arrow_folder(folder)
         for b in batches:
             kind = b.schema.field(4).type
             rows = list(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True))
@@ -172,7 +170,7 @@ def read(selected: DataFrame, folder: str, key_type: str, with_payload: bool = F
                     response = warc["warc-type"] == "response"
                     if warc["warc-payload-digest"] != f"sha1:{digest}" or (response and base32_sha1(body) != digest):
                         raise DamagedArchive(f"{group[0][0]} at {offset}: the digest differs")
-                    for to, v in zip(out, (number(warc["x-page-id"], kind), int(http["content-length"]), digest, warc["warc-type"], number(warc.get("x-refers-to-page-id", ""), kind), body if response and with_payload else None), strict=True):
+                    for to, v in zip(out, (key(warc.get("x-page-id"), kind), int(http["content-length"]), digest, warc["warc-type"], key(warc.get("x-refers-to-page-id"), kind), body if response and with_payload else None), strict=True):
                         to.append(v)
                 kinds = [kind, pa.int64(), pa.string(), pa.string(), kind, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])

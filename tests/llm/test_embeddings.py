@@ -45,7 +45,7 @@ def test_query_equals_sql(spark):
 
 def test_links_and_recall_against_brute_force(spark):
     x = clustered().astype(np.float32)
-    vectors = [v.tolist() for v in x] + [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1.0, 2.0], [], [1e-30] * 16, [1e30] * 16]
+    vectors = [v.tolist() for v in x] + [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [2.0, -4.0], [], [1.0, 0.0, 0.0, 2.0, 0.0], [1e-30] * 16, [1e30] * 16]
     keys = list(range(1000, 1000 + len(vectors)))[::-1]
     df = spark.createDataFrame(list(zip(keys, vectors, strict=True)), "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "cell": F.lit("x"), "root": F.lit(2)})
     got = {r["vec_id"]: r for r in embeddings.near_vectors(df, Scratch(spark), reach=1.0).collect()}

@@ -120,6 +120,23 @@ def check(rows, docs):
     assert all(len(v) == 1 for v in texts.values())
 
 
+def plain_feature(width, height, rgb):
+    """Means of whole numbers, a pixel at a time."""
+
+    def mean(x0, x1, y0, y1):
+        total, n = [0, 0, 0], 0
+        for y in range(y0, y1):
+            for x in range(x0, x1):
+                n += 1
+                for c in range(3):
+                    total[c] += rgb[3 * (y * width + x) + c]
+        return "".join(f"{v // max(1, n):02x}" for v in total)
+
+    w, h = width // 2, height // 2
+    parts = [(0, width, 0, height), (0, w, 0, h), (width - w, width, 0, h), (0, w, height - h, height), (width - w, width, height - h, height)]
+    return f"{width}x{height}:" + "-".join(mean(*p) for p in parts)
+
+
 def test_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op6_media"](spark, SF).collect()
@@ -135,5 +152,8 @@ def test_edges(spark):
     assert len(rows) == 8
     check(rows, docs)
     assert media.media_features(df.limit(0), scratch).count() == 0
+    by_text = {docs[r["doc_id"]] or "": r["feature"] for r in rows if r["doc_id"] != 6}
+    for t in media.tensors(media.store(df.where("doc_id IN (2, 3, 4, 7)"))).collect():
+        assert by_text[docs[t["doc_id"]]] == plain_feature(t["width"], t["height"], bytes(t["tensor"]))
     t = media.tensors(media.store(df.where("doc_id = 2"))).first()
     assert len(t["tensor"]) == t["height"] * t["width"] * 3 and (t["width"], t["height"]) == (16, 16)

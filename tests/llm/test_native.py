@@ -1,4 +1,6 @@
+import random
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import pytest
@@ -46,19 +48,80 @@ def test_sharding_edges(spark):
     assert sharding.shard(docs.limit(0), Scratch(spark)).count() == 0
 
 
-def test_ring_moves_little():
-    """One more shard moves about its own share of rows, and only overflow moves besides."""
-    n, counts = 8, {k: 100 for k in range(8 * 64)}
-    points = sharding.ring(n, 64)
-    assert {p for p in points} <= {p for p in sharding.ring(n + 1, 64)}
-    plan = sharding.fill(counts, points, [6400] * n)
-    home = sum(take for arc, parts in plan.items() for s, take in parts if s == points[arc][1])
-    assert sum(take for parts in plan.values() for _, take in parts) == 51200 and home > 0.8 * 51200
+def brute_shards(hashes, shards, vnodes=64):
+    """Rows one at a time in the order of their arcs and hashes: home while there is room, else clockwise."""
+    points = sharding.ring(shards, vnodes)
+    places = [p for p, _ in points]
+    arcs = {}
+    for k, h in enumerate(hashes):
+        arcs.setdefault(bisect_left(places, h) % len(points), []).append((h, k))
+    room, out, over = [len(hashes) // shards + (s < len(hashes) % shards) for s in range(shards)], {}, []
+    for arc in sorted(arcs):
+        for _, k in sorted(arcs[arc]):
+            home = points[arc][1]
+            if room[home]:
+                room[home] -= 1
+                out[k] = home
+            else:
+                over.append((arc, k))
+    for arc, k in over:
+        s = next(points[(arc + j) % len(points)][1] for j in range(len(points)) if room[points[(arc + j) % len(points)][1]])
+        room[s] -= 1
+        out[k] = s
+    return [out[k] for k in range(len(hashes))]
+
+
+def test_every_row_stands_at_its_successor_or_clockwise_of_it(spark):
+    n = 4000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id % 50) AS text")
+    keyed = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - sharding.RING_BITS)).withColumn("order", F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 1).cast("bigint")))
+    rows = sorted(keyed.collect(), key=lambda r: r["doc_id"])
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, Scratch(spark)).collect()}
+    points = sharding.ring(8, 64)
+    places = [p for p, _ in points]
+    counts = Counter(bisect_left(places, r["h"]) % len(points) for r in rows)
+    by_arc = {}
+    for r in sorted(rows, key=lambda r: r["order"]):
+        by_arc.setdefault(bisect_left(places, r["h"]) % len(points), []).append(r["doc_id"])
+    room, want, over = [n // 8 + (s < n % 8) for s in range(8)], {}, []
+    for arc in sorted(counts):
+        for k in by_arc[arc]:
+            home = points[arc][1]
+            if room[home]:
+                room[home] -= 1
+                want[k] = home
+            else:
+                over.append((arc, k))
+    for arc, k in over:
+        s = next(x for x in sharding.clockwise(points, arc) if room[x])
+        room[s] -= 1
+        want[k] = s
+    assert got == want and over
+
+
+def test_one_more_shard_moves_about_its_own_share():
+    rng = random.Random(3)
+    hashes = [rng.randrange(1 << sharding.RING_BITS) for _ in range(60_000)]
+
+    def placed(shards):
+        points = sharding.ring(shards, 64)
+        places = [p for p, _ in points]
+        arcs = [bisect_left(places, h) % len(points) for h in hashes]
+        plan = sharding.fill(Counter(arcs), points, [len(hashes) // shards + (s < len(hashes) % shards) for s in range(shards)])
+        at, out = {a: [s for s, take in parts for _ in range(take)][::-1] for a, parts in plan.items()}, {}
+        for k in sorted(range(len(hashes)), key=hashes.__getitem__):
+            out[k] = at[arcs[k]].pop()
+        return out, sum(out[k] != points[arcs[k]][1] for k in out)
+
+    (old, over), (new, _) = placed(8), placed(9)
+    counts = Counter(old.values())
+    moved = [k for k in old if old[k] != new[k]]
+    assert max(counts.values()) - min(counts.values()) <= 1 and 0 < over < 0.1 * len(hashes)
+    assert len(hashes) / 9 <= len(moved) < 0.2 * len(hashes) and sum(new[k] != 8 for k in moved) < 0.08 * len(hashes)
+    assert old == {k: s for k, s in enumerate(brute_shards(hashes, 8))}
 
 
 def test_arcs_against_bisect(spark):
-    from bisect import bisect_left
-
     points = sharding.ring(8, 64)
     places = [p for p, _ in points]
     hashes = [0, (1 << sharding.RING_BITS) - 1, *places[:20], *(p + 1 for p in places[:20])]
@@ -102,6 +165,14 @@ def test_mixing_edges(spark):
     assert emitted.columns == docs.columns and emitted.count() == sum(r["copies"] for r in rows) and {r["size"] for r in emitted.collect()} == {"clash"}
 
 
+def test_a_hot_url_is_judged_like_any(spark):
+    rules = [("net", "/", "block"), ("a.b.c.net", "/x" * 40, "allow")]
+    pages = spark.range(5000).selectExpr("id AS page_id", "CASE WHEN id % 3 > 0 THEN 'http://q.a.b.c.net' || repeat('/x', int(id % 60)) END AS url")
+    got = Counter((r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.rule_table(spark, rules)).collect())
+    want = Counter((None, "allow") if k % 3 == 0 else ("a.b.c.net" + "/x" * 40, "allow") if k % 60 >= 40 else ("net/", "block") if k % 60 else (None, "allow") for k in range(5000))
+    assert got == want
+
+
 def test_url_edges(spark):
     urls = ["http://A.Net", "http://a.net/", "net://net/x", "x://y://z.example.net/en/a?b#c", "http://example.net/en", "https://EXAMPLE.com/de/?", "http://notexample.com/de/", "http://org/fr/", "nothing", "", None, "http://?q", "http://é.net/ü/", "a.net/b://c.org/fr/x", "http://a.net." + "x" * 5000 + ".net/" + "y/" * 3000]
     pages = spark.createDataFrame([(k, u, "host", "r") for k, u in enumerate(urls)] + [(0, urls[0], "h", "r")], "page_id long, url string, host string, digest string").withColumns({"best": F.lit(1), "short": F.lit("x")})

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import pytest
 import sentencepiece
@@ -39,17 +40,37 @@ def test_random_texts_equal_the_library(model, library):
         assert p.encode(t) == p.merge("▁" + t.replace(" ", "▁")) if t else True
 
 
-def test_viterbi_of_a_unigram_model_is_optimal(model):
-    p = pieces.Pieces(model, model_type=pieces.UNIGRAM)
+def number(x):
+    out = b""
+    while x > 127:
+        out, x = out + bytes([x & 127 | 128]), x >> 7
+    return out + bytes([x])
+
+
+def unigram_model(pieces_, byte_fallback):
+    """A unigram model file with given pieces and scores; nothing is trained."""
+    field = lambda n, v: number(n << 3 | 2) + number(len(v)) + v if isinstance(v, bytes) else number(n << 3) + number(v)
+    piece = lambda t, score, kind: field(1, field(1, t.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + field(3, kind))
+    special = [("<unk>", 0.0, pieces.UNKNOWN), ("<s>", 0.0, pieces.CONTROL), ("</s>", 0.0, pieces.CONTROL)]
+    octets = [(f"<0x{k:02X}>", 0.0, pieces.BYTE) for k in range(256)] if byte_fallback else []
+    trainer = field(3, pieces.UNIGRAM) + field(35, int(byte_fallback)) + field(40, 0) + field(41, 1) + field(42, 2)
+    normaliser = field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)
+    return b"".join(piece(*p) for p in [*special, *octets, *((t, s, pieces.NORMAL) for t, s in pieces_)]) + field(2, trainer) + field(3, normaliser)
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_viterbi_of_a_unigram_model_equals_the_library(byte_fallback):
     rng = random.Random(6)
-    for _ in range(200):
-        t = "".join(rng.choice("aeinth rs") for _ in range(rng.randrange(1, 14)))
-        s = "▁" + t.replace(" ", "▁")
-        best = [0.0] + [float("-inf")] * len(s)
-        for e in range(1, len(s) + 1):
-            best[e] = max(best[b] + p.score[p.id[s[b:e]]] for b in range(e) if s[b:e] in p.id)
-        ids = p.encode(t)
-        assert sum(p.score[i] for i in ids) == best[-1] and "".join(p.text[i] for i in ids) == s
+    letters = "aeinthrs\u2581"
+    found = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(700)}
+    found = sorted({t for t in found if "\u2581" not in t[1:]} | set("aeinth\u2581"))  # r and s within longer pieces only
+    data = unigram_model([(t, -rng.random() * 4 - 2 * len(t) ** 0.5) for t in found], byte_fallback)
+    ours, library = pieces.Pieces(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    for k in range(2000):
+        t = "".join(rng.choice("aeinthrs  " if k % 2 else "aeinthrs  é日xq") for _ in range(rng.randrange(1, 40)))
+        ids = ours.encode(t)
+        assert ids == library.encode(t), t
+        assert not byte_fallback or ours.decode(ids) == t
 
 
 def test_query_equals_the_library(spark, library):

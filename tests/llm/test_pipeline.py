@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -9,6 +10,7 @@ from test_substrings import brute as brute_repeats
 
 import corpus_pipeline
 from stratalog.llm import pieces, quality, simhash
+from stratalog.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,15 +36,36 @@ def test_quality_stage(spark, kept):
     assert sorted(map(tuple, kept[1])) == sorted(map(tuple, want)) and 0 < len(want) < len(kept[0])
 
 
+def five_words(text):
+    words = text.encode().lower().split()
+    return [b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+
+
+def test_similarity_decides_not_the_fingerprint(spark):
+    """Near copies of one text, of which some are below the similarity, and fingerprints that alone would link them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(300)], {}
+    for k in range(160):
+        ws = list(base)
+        for _ in range(rng.randrange(16)):
+            ws[rng.randrange(300)] = word()
+        texts[k] = " ".join(ws)
+    texts |= {k + 1000: texts[k].upper() + " \n" for k in range(5)} | {k + 2000: " ".join(word() for _ in range(50)) for k in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, Scratch(spark), k=7, shingle=5, similarity=0.8).collect()}
+    fps, sets = ({k: f(t) for k, t in texts.items()} for f in (lambda t: simhash.fingerprint(t.encode(), 5) % (1 << 64), lambda t: set(five_words(t))))
+    near = [(a, b) for a, b in combinations(sorted(texts), 2) if (fps[a] ^ fps[b]).bit_count() <= 7]
+    links = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert got == brute_roots(links, texts) and 100 < len(links) < len(near)
+
+
 def test_near_duplicate_stage(kept):
-    fps: dict[int, list[int]] = {}
-    for r in kept[1]:
-        fps.setdefault(simhash.fingerprint(r["text"].encode(), 5) % (1 << 64), []).append(r["doc_id"])
-    roots = brute_roots([(a, b) for a, b in combinations(sorted(fps), 2) if (a ^ b).bit_count() <= 5], fps)
-    least: dict[int, int] = {}
-    for fp, ids in fps.items():
-        least[roots[fp]] = min([*ids, least.get(roots[fp], 1 << 62)])
-    assert sorted(r["doc_id"] for r in kept[2]) == sorted(least.values())
+    fps = {r["doc_id"]: simhash.fingerprint(r["text"].encode(), 5) % (1 << 64) for r in kept[1]}
+    sets = {r["doc_id"]: set(five_words(r["text"])) for r in kept[1]}
+    near = [(a, b) for a, b in combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 7]
+    roots = brute_roots([(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], fps)
+    assert sorted(r["doc_id"] for r in kept[2]) == sorted(set(roots.values())) and len(kept[2]) < len(kept[1])
     assert {tuple(r) for r in kept[2]} <= {tuple(r) for r in kept[1]}
 
 
@@ -74,11 +97,24 @@ def test_run_equals_the_stages(spark, kept):
 
 
 def test_edges(spark):
-    """Nulls in every column, an empty table and a column more."""
+    """Nulls in every column, repeated rows, an empty table and columns more."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (1, " ", None, "src1", None)], docs.schema)
-    for start in (docs.unionByName(odd).withColumn("size", F.lit("clash")).withColumn("score", F.lit("x")), docs.limit(0)):
-        d = start
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            rows = stage(spark, d, SF).collect()
-            d = spark.createDataFrame(rows, d.schema) if k < 4 else None
+    start = docs.unionByName(docs.limit(3)).unionByName(odd).withColumn("size", F.lit("clash")).withColumn("score", F.lit("x"))
+    model = quality.fit(start, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"))
+    good = [r for r in start.collect() if model.score((r["text"] or "").encode()) >= quality.THRESHOLD]
+    d, kept = corpus_pipeline.keep_quality(spark, start, SF), []
+    assert sorted(map(str, d.collect())) == sorted(map(str, good))
+    for _, stage in corpus_pipeline.STAGES[1:4]:  # on all rows, the odd ones too
+        before, out = start if not kept else spark.createDataFrame(kept[-1], start.schema), None
+        out = stage(spark, before, SF)
+        assert out.schema.names == start.schema.names
+        kept.append(out.collect())
+    one, cut, mixed = kept
+    assert sum(not (r["text"] or "").split() for r in one) == 1 and len({r["doc_id"] for r in one}) == len(one) and all(r["size"] == "clash" and r["score"] == "x" for r in one)
+    assert sorted(str(r["doc_id"]) for r in cut) == sorted(str(r["doc_id"]) for r in one)
+    assert mixed and {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in cut if (r["text"] or "").split()}
+    rows = corpus_pipeline.encode(spark, start, SF).collect()
+    assert len(rows) == start.count() and sum(r["n_tokens"] == 0 for r in rows) >= 2
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)

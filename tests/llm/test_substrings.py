@@ -43,8 +43,8 @@ def test_query_against_brute_force(spark):
     assert got(QUERIES["op10_substrings"](spark, SF)) == brute(docs)
 
 
-@pytest.mark.parametrize(("seed", "group", "limit"), [(1, 20_000, 5_000), (2, 300, 40), (3, 300, 3)])
-def test_random_documents(spark, seed, group, limit):
+@pytest.mark.parametrize(("seed", "how"), [(1, {}), (2, {"leaves": 20, "anchor": 12, "group": 300, "limit": 40}), (3, {"anchor": 0, "group": 300, "limit": 3})])
+def test_random_documents(spark, seed, how):
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("xyz")
     passages = [[word() for _ in range(rng.randrange(40, 140))] for _ in range(6)]
@@ -61,7 +61,7 @@ def test_random_documents(spark, seed, group, limit):
         data.append((rng.randrange(60), " ".join(ws)))
     data += data[:5] + [(200 + k, data[0][1]) for k in range(5)] + [(None, data[0][1]), (None, None), (7, None), (8, ""), (9, "\n \t"), (3, "a " * 400), (4, "a " * 300 + "b"), (5, data[1][1].replace(" ", "\n\n"))]
     docs = spark.createDataFrame([(k, t, "x", "s", 0) for k, t in data], DOCS).withColumns({"th": F.lit(1), "doc": F.lit("x"), "places": F.lit(2), "n_words": F.lit(3)})
-    out = substrings.deduplicate(docs, Scratch(spark), group=group, limit=limit)
+    out = substrings.deduplicate(docs, Scratch(spark), **how)
     assert got(out) == brute(data)
     for r in out.collect():
         if r["n_removed"]:
@@ -83,9 +83,35 @@ def _unchanged(data):
             yield t
 
 
+def test_keys_of_other_types(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([("b", text), ("a", text + " end"), ("", "x " + text), (None, text)], "doc_id string, text string")
+    rows = {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(docs, Scratch(spark)).collect()}
+    assert rows == {"b": 80, "a": 80, "": 0, None: 0}
+
+
 def test_internal_nodes():
-    sym = np.array([[1, 1], [1, 1], [1, 2], [2, 1], [1, 2], [3, 3]])
-    order, common = substrings.subtree(sym)
-    assert sym[order].tolist() == sorted(sym.tolist())
-    assert sorted(substrings.internal_nodes(common)) == [(1, 0, 4), (2, 0, 2), (2, 2, 4)]
-    assert substrings.least_in_deep_nodes(sym, np.array([5, 3, 9, 1, 8, 7])).tolist() == [3, 3, 8, 1, 8, 7]
+    common = np.array([0, 2, 1, 0, 3, 3])
+    assert sorted(substrings.internal_nodes(common)) == [(1, 0, 3), (2, 0, 2), (3, 3, 6)] and substrings.internal_nodes(common, 2) == [(2, 0, 2), (3, 3, 6)]
+    order = np.array([3, 0, 5, 1, 2, 4])
+    assert substrings.least_in_deep_nodes(order, common, np.array([5, 3, 9, 1, 8, 7]), 2).tolist() == [1, 3, 3, 1, 3, 7]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 7, 8])
+def test_suffix_array(depth):
+    rng = random.Random(depth)
+    rows = [[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(12)]
+    words, ends = np.array(sum(rows, []), np.int64), np.repeat(np.cumsum([len(r) for r in rows]), [len(r) for r in rows])
+    order, common = substrings.suffix_array(words, ends, depth)
+    heads = [words[k : min(k + depth, ends[k])].tolist() for k in order]
+    assert heads == sorted(heads) and sorted(order) == list(range(len(words)))
+    for k in range(1, len(heads)):
+        want = next((j for j, (x, y) in enumerate(zip(heads[k - 1], heads[k], strict=False)) if x != y), min(len(heads[k - 1]), len(heads[k])))
+        assert common[k] == want
+
+
+def test_leaf_repeats_are_maximal():
+    a, b = list(range(100, 160)), list(range(300, 340))
+    leaves = [np.array(x) for x in (a + b, [1, 2] + a[5:] + [7] + b, a[:52], [9, 9])]
+    assert sorted(substrings.leaf_repeats(leaves, np.array([4, 6, 5, 1]), 50)) == [(1, 2, 6), (2, 0, 3)]
+    assert substrings.leaf_repeats(leaves[:1] * 2, np.array([3, 3]), 50) == []

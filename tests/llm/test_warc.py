@@ -53,3 +53,14 @@ def test_edges(spark):
 def test_ranges():
     rows = [("a", 0, 10), ("a", 10, 5), ("a", 100, 5), ("a", 5000, 1), ("b", 0, 9)]
     assert [len(g) for g in warc._ranges(rows, 100, 1000)] == [3, 1, 1] and [len(g) for g in warc._ranges(rows, 100, 50)] == [2, 1, 1, 1]
+
+
+def test_keys_of_other_types(spark):
+    from decimal import Decimal
+
+    for kind, keys in (("string", ["b", "", "a c\r\nX: 1", "ü", None]), ("decimal(20,2)", [Decimal("1.50"), Decimal("-3.00"), None])):
+        pages = spark.createDataFrame([(k, "u", "same") for k in keys] + [(keys[0], "u", "other")], f"page_id {kind}, url string, html string")
+        index, folder = warc.archive(pages, Scratch(spark))
+        got = warc.read(index, folder, kind).collect()
+        least = min(k for k in keys if k is not None)
+        assert sorted((str(r["page_id"]), str(r["refers_to"])) for r in got if r["payload_bytes"] == 4) == sorted((str(k), "None" if k == least else str(least)) for k in keys)

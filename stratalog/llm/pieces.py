@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by an Aho-Corasick automaton over the pieces.
 
-One pass over a text gives, at each position, every piece that ends there: the automaton's state and its output links. A unigram model relaxes the best score of each position over them (Viterbi). In a BPE model scores order merges and don't add up, so the best sum isn't what the model's own library encodes; there the same pass relaxes validity: a position's last piece is the one piece ending there whose pair with the last piece before it is left alone by the merges. Such a piece is unique, and the pairs' validity is kept in a table. Texts fall into chunks that no piece crosses, so chunks are encoded once and remembered up to a bound.
+One pass over a text gives, at each position, every piece that ends there: the automaton's state and its output links. A unigram model relaxes the best score of each position over them (Viterbi). In a BPE model scores order merges and don't add up, so the best sum isn't what the model's own library encodes; there the same pass relaxes validity: a position's last piece is the one piece ending there whose pair with the last piece before it is left alone by the merges. Such a piece is unique, and the pairs' validity is kept in a table. BPE texts fall into chunks that no piece crosses, so chunks are encoded once and remembered up to a bound.
 """
 
 from __future__ import annotations
@@ -24,6 +24,14 @@ CHUNKS, CHUNK_CHARS, PAIRS = 200_000, 48, 500_000
 UNKNOWN_PENALTY = 10.0
 
 
+_SINGLE = struct.Struct("<f")
+
+
+def single(x: float) -> float:
+    """x in single precision."""
+    return _SINGLE.unpack(_SINGLE.pack(x))[0]
+
+
 def _fields(b: bytes) -> list[tuple[int, int | bytes]]:
     """The fields of a protocol buffer message."""
     out, i = [], 0
@@ -91,7 +99,7 @@ class Pieces:
         runs = [t for t in inner if not t.strip(SPACE)]
         others = min((self.score[i] for t, i in self.id.items() if len(t) > 1 and t.strip(SPACE)), default=0.0)
         #: Whether pieces have the space mark at their start only, but for runs of it that merge after everything else.
-        self.splits = len(runs) == len(inner) and (self.type == UNIGRAM or all(self.score[self.id[t]] < others for t in runs))
+        self.splits = len(runs) == len(inner) and all(self.score[self.id[t]] < others for t in runs)
         self.lowest = min((self.score[i] for i in self.id.values()), default=0.0)
         self._chunks: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[int, bool] = {}
@@ -109,9 +117,11 @@ class Pieces:
             if not text:
                 return []
         s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        out: list[int] = []
+        if self.type == UNIGRAM:
+            return self._viterbi(s)
         if not self.splits:
             return self._segments(s)
+        out: list[int] = []
         seen = self._chunks
         for c in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s):
             ids = seen.get(c)
@@ -125,7 +135,7 @@ class Pieces:
         return out
 
     def _chunk(self, c: str) -> list[int]:
-        if self.type == UNIGRAM or not c.startswith(SPACE * 2):
+        if not c.startswith(SPACE * 2):
             return self._segments(c)
         word = c.lstrip(SPACE)
         marks = len(c) - len(word)
@@ -137,13 +147,12 @@ class Pieces:
         return self.merge(SPACE * (marks - 1)) + ids
 
     def _segments(self, s: str) -> list[int]:
-        run = self._viterbi if self.type == UNIGRAM else self._valid
         if self.known.issuperset(s):
-            return run(s)
+            return self._valid(s)
         out: list[int] = []
         for part in self.parts.findall(s):
             if part[0] in self.known:
-                out += run(part)
+                out += self._valid(part)
             elif self.bytes:
                 out += [self.bytes[x] for x in part.encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown:
@@ -151,16 +160,16 @@ class Pieces:
         return out
 
     def _viterbi(self, s: str) -> list[int]:
-        """The segmentation of the best sum of scores."""
+        """The segmentation of the best sum of scores, in single precision as the model's own library adds them up, so that ties and near-ties fall alike."""
         worst = float("-inf")
         best, last = [0.0] + [worst] * len(s), [-1] * (len(s) + 1)
         score, size = self.score, [1] * (len(s) + 1)
         at = 0
 
-        def fill(upto):  # characters that only occur within longer pieces
+        def fill(upto):  # characters that are no piece themselves
             for e in range(at + 1, upto + 1):
                 if last[e] < 0 or size[e] > 1:
-                    x = best[e - 1] + self.lowest - UNKNOWN_PENALTY
+                    x = single(best[e - 1] + single(self.lowest - UNKNOWN_PENALTY))
                     if s[e - 1] not in self.id and x > best[e]:
                         best[e], last[e], size[e] = x, self.unknown, 1
 
@@ -169,13 +178,16 @@ class Pieces:
             if e - 1 > at:
                 fill(e - 1)
                 at = e - 1
-            x = best[e - n] + score[t]
+            x = single(best[e - n] + score[t])
             if x > best[e]:
                 best[e], last[e], size[e] = x, t, n
         fill(len(s))
         out, e = [], len(s)
         while e:
-            out += self._spell(s[e - 1])[::-1] if last[e] == self.unknown else [last[e]]
+            if last[e] != self.unknown:
+                out.append(last[e])
+            elif self.bytes or not out or out[-1] != self.unknown:  # a run of unknown characters is one
+                out += self._spell(s[e - 1])[::-1]
             e -= size[e]
         return out[::-1]
 

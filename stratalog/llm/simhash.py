@@ -134,6 +134,7 @@ def _mask(bits: list[int]) -> int:
 
 
 def _costs(n: int, widths: list[int], exact: list[float], ratio: list[np.ndarray], k: int) -> list[list[float]]:
+    n = max(1, n)  # so that probes cost something for an empty table too, and few are taken
     return [[0.0, *(n * sum(comb(w, x) for x in range(t + 1)) * PROBE_COST + same * r[t] for t in range(k + 1))] for w, same, r in zip(widths, exact, ratio, strict=True)]
 
 

@@ -99,7 +99,7 @@ def test_run_equals_the_stages(spark, kept):
 def test_edges(spark):
     """Nulls in every column, repeated rows, an empty table and columns more."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
-    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (1, " ", None, "src1", None)], docs.schema)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (9001, " ", None, "src1", None)], docs.schema)
     start = docs.unionByName(docs.limit(3)).unionByName(odd).withColumn("size", F.lit("clash")).withColumn("score", F.lit("x"))
     model = quality.fit(start, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"))
     good = [r for r in start.collect() if model.score((r["text"] or "").encode()) >= quality.THRESHOLD]

@@ -5,6 +5,8 @@ A document is the mean of learned vectors of hashed features: its words, the byt
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,6 +97,18 @@ def bag(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return ids, n.astype(np.int32)
 
 
+def pack(ids: np.ndarray, n: np.ndarray) -> bytes:
+    """A bag in little space: the steps between its ids and its counts, by byte planes, compressed."""
+    both = np.concatenate((np.diff(ids, prepend=0), n)).astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    half = len(both) // 2
+    return np.cumsum(both[:half]).astype(np.int32), both[half:].astype(np.int32)
+
+
 class Model:
     """One float a bucket and a bias: a document's logit is the mean of its features' floats plus the bias."""
 
@@ -106,12 +120,11 @@ class Model:
         return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
-    """Vectors and a two-class softmax by stochastic gradient descent over bag()s, one document a step, at a falling rate. Classes weigh the same in sum. Without both classes the score is constant."""
+def train(bags: list[bytes], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
+    """Vectors and a two-class softmax by stochastic gradient descent over packed bags, one document a step, at a falling rate. Classes weigh the same in sum. Without both classes the score is constant."""
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
-    bags = [(ids, (n / n.sum()).astype(np.float32)) for ids, n in bags]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -119,7 +132,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for k in rng.permutation(len(bags)):
-            ids, share = bags[k]
+            ids, n = unpack(bags[k])
+            share = (n / n.sum()).astype(np.float32)
             h = share @ vectors[ids]
             z = h @ layer + bias
             p = np.exp(z - z.max())
@@ -144,7 +158,7 @@ HELD_OUT = 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Train on the whole texts of at most `rows` labelled documents outside the held-out fold: those with the least key hashes among the labelled keys that have a document. Keys with contradicting labels and rows with a null label or key are left out; of several texts of a key one is taken. Texts become bags of features on the executors, so what comes to the driver is bounded by `rows` and the buckets, however long texts are. Null texts count as empty."""
+    """Train on the whole texts of at most `rows` labelled documents outside the held-out fold: those with the least key hashes among the labelled keys that have a document. Keys with contradicting labels and rows with a null label or key are left out; of several texts of a key one is taken. Texts become bags of features on the executors, so what comes to the driver, packed, is bounded by `rows` and the buckets, however long texts are. Null texts count as empty."""
     prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & (fold(F.col(key)) != HELD_OUT)).groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z").select("_k", "_y")
     raw = docs.select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t")).where("_k IS NOT NULL")
@@ -160,12 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
         for b in batches:
             for k in range(b.num_rows):
-                ids, n = bag(b.column(1)[k].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int32()))], ["place", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([pack(*bag(b.column(1)[k].as_py()))], pa.binary())], ["place", "bag"])
 
-    got = sample.mapInArrow(run, "place int, ids array<int>, n array<int>").toArrow().sort_by("place")
-    ids, n = (got[c].combine_chunks() for c in ("ids", "n"))
-    return train([(ids[k].values.to_numpy(), n[k].values.to_numpy()) for k in range(len(ids))], [picked[p]["_y"] for p in got["place"].to_pylist()])
+    got = sorted((r["place"], bytes(r["bag"])) for r in sample.mapInArrow(run, "place int, bag binary").collect())
+    return train([b for _, b in got], [picked[p]["_y"] for p, _ in got])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ def test_training_against_plain_python():
     rng = random.Random(2)
     texts = [" ".join(rng.choice(("good", "fine", "text") if k % 2 else ("spam", "buy", "text")) for _ in range(rng.randrange(1, 9))).encode() for k in range(30)]
     labels, dim = [k % 2 for k in range(30)], quality.DIM
-    model = quality.train([quality.bag(t) for t in texts], labels)
+    model = quality.train([quality.pack(*quality.bag(t)) for t in texts], labels)
     draw = np.random.default_rng(1)
     start = draw.uniform(-1 / dim, 1 / dim, (quality.BUCKETS, dim)).astype(np.float32)
     vectors, layer, bias, steps, done = {}, [[0.0, 0.0] for _ in range(dim)], [0.0, 0.0], quality.EPOCHS * len(texts), 0

@@ -57,7 +57,7 @@ def _placed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def emit(docs: DataFrame, scratch: Scratch, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of docs, with all its columns, `copies` times. Rows are as in mix(): null texts and rows of sources without words get no copy, ties and repeated rows are interchangeable, other columns may have any name, an empty table gives no rows.
+    """The mix itself: each row of docs, with all its columns, `copies` times. Rows are as in mix(): texts without words can be taken, but not from sources without any words, ties and repeated rows are interchangeable, other columns may have any name, an empty table gives no rows.
 
     Numbers of copies are decided on narrow rows and joined back by the place that a row was read from, so whole texts move once, and are dealt evenly whatever their sizes.
     """

@@ -33,7 +33,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture of sources takes it, at most three times. Texts without words and null texts aren't taken; null sources are one source; repeated rows are interchangeable; an empty table stays empty."""
+    """Each document as often as the mixture of sources takes it, at most three times. Null texts and texts without words count no words and can be taken like others, but not from sources without any words; null sources are one source; repeated rows are interchangeable; an empty table stays empty."""
     return mixing.emit(docs, Scratch(spark))
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from stratalog.llm import mixing, pieces, quality, simhash, substrings
 from stratalog.llm.scratch import Scratch
 
-#: Near-duplicates in the pipeline: sets of five-word shingles of a Jaccard similarity of 0.8, searched for among fingerprints of at most seven differing bits.
-SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 7
+#: Near-duplicates in the pipeline: sets of five-word shingles of a Jaccard similarity of 0.8, searched for among fingerprints of at most nine differing bits.
+SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 9
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

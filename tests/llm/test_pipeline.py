@@ -53,9 +53,9 @@ def test_similarity_decides_not_the_fingerprint(spark):
         texts[k] = " ".join(ws)
     texts |= {k + 1000: texts[k].upper() + " \n" for k in range(5)} | {k + 2000: " ".join(word() for _ in range(50)) for k in range(20)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, Scratch(spark), k=7, shingle=5, similarity=0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, Scratch(spark), k=corpus_pipeline.DISTANCE, shingle=5, similarity=0.8).collect()}
     fps, sets = ({k: f(t) for k, t in texts.items()} for f in (lambda t: simhash.fingerprint(t.encode(), 5) % (1 << 64), lambda t: set(five_words(t))))
-    near = [(a, b) for a, b in combinations(sorted(texts), 2) if (fps[a] ^ fps[b]).bit_count() <= 7]
+    near = [(a, b) for a, b in combinations(sorted(texts), 2) if (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.DISTANCE]
     links = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert got == brute_roots(links, texts) and 100 < len(links) < len(near)
 
@@ -63,7 +63,7 @@ def test_similarity_decides_not_the_fingerprint(spark):
 def test_near_duplicate_stage(kept):
     fps = {r["doc_id"]: simhash.fingerprint(r["text"].encode(), 5) % (1 << 64) for r in kept[1]}
     sets = {r["doc_id"]: set(five_words(r["text"])) for r in kept[1]}
-    near = [(a, b) for a, b in combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 7]
+    near = [(a, b) for a, b in combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.DISTANCE]
     roots = brute_roots([(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], fps)
     assert sorted(r["doc_id"] for r in kept[2]) == sorted(set(roots.values())) and len(kept[2]) < len(kept[1])
     assert {tuple(r) for r in kept[2]} <= {tuple(r) for r in kept[1]}

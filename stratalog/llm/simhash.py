@@ -208,8 +208,12 @@ def link(nodes: DataFrame, scratch: Scratch, k: int = DISTANCE, confirm: Callabl
     flips = lambda g, t: F.explode(F.array(*(F.lit(f).cast("bigint") for f in _flips(g, t))))
     probes = _union([labelled.select(F.lit(i).alias("i"), "id", "fp", "label", F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("own"), flips(g, t).alias("flip")).select("i", F.col("own").bitwiseXOR(F.col("flip")).alias("v"), F.col("id").alias("b"), F.col("fp").alias("y"), F.col("label").alias("lb")) for i, g, t in used])
     same = (stored["i"] == probes["i"]) & (stored["v"] == probes["v"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (_differ("x", "y") <= k)
+    # a pair comes from the first group that finds it and from no other, so it comes once
+    found = [F.bit_count(F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.lit(_mask(g)))) <= t for _, g, t in used]
+    for j in range(1, len(used)):
+        same &= ~((stored["i"] == used[j][0]) & reduce(Column.__or__, found[:j]))
     across = stored.join(probes, same)
-    across = confirm(across.select("a", "b", "la", "lb").distinct()) if confirm else across
+    across = confirm(across.select("a", "b", "la", "lb")) if confirm else across
     second = components(across.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), scratch).select(F.col("node").alias("label"), "root")
     return split_join(labelled, second, "label", "left").select("id", F.coalesce("root", "label").alias("root"))
 

@@ -230,7 +230,8 @@ def _similar(docs: DataFrame, scratch: Scratch, shingle: int, similarity: float,
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+        # written, so that its size is known before the texts are dealt out: below Spark's broadcast threshold they stay where they are
+        wanted = scratch.save(pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct(), "wanted")
         texts = split_join(docs.select(F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t")), wanted, "th", "left_semi").dropDuplicates(["th"])
         sets = scratch.save(texts.mapInArrow(run, "th long, s array<long>"), "sets")
         for end in ("a", "b"):
@@ -262,4 +263,5 @@ def keep_one(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     found = near_duplicates(docs, scratch, key=key, text=text, **how)
     reps = found.select(F.xxhash64("rep.key").alias("_kh"), F.col("rep.th").alias("_th")).distinct()
     both = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("_all"), F.xxhash64(key).alias("_kh"), F.xxhash64(text).alias("_th"))
-    return split_join(both, reps, ["_kh", "_th"], "left_semi").groupBy("_kh", "_th").agg(F.min_by("row", "_all").alias("row")).select("row.*")
+    # the rows of a key and text become one first, in part before the shuffle, and the join then finds them dealt out by its keys
+    return both.groupBy("_kh", "_th").agg(F.min_by("row", "_all").alias("row")).join(reps, ["_kh", "_th"], "left_semi").select("row.*")

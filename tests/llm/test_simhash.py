@@ -94,3 +94,21 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(df, Scratch(spark)).collect()}
     want = brute_roots(edges, {x for e in edges for x in e})
     assert got == {n: r for n, r in want.items() if n != r}
+
+
+def test_candidate_pairs_come_once(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(12)})
+    near = {(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 9}
+    asked = []
+
+    def refuse(pairs):
+        asked.append([(r["a"], r["b"]) for r in pairs.collect()])
+        return pairs.where("false")
+
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(i, f, 1) for i, f in enumerate(signed)], "id long, fp long, n long")
+    roots = simhash.link(nodes, Scratch(spark), 9, refuse)
+    assert {r["id"]: r["root"] for r in roots.collect()} == {i: i for i in range(len(fps))}
+    assert sorted(asked[-1]) == sorted(near)

@@ -44,9 +44,9 @@ class Store:
         self._fs, path = hadoop_path(spark, f"{self.root}/manifests")
         self._fs.mkdirs(path)
         m = self.manifest()
-        for p in (*m["layers"], *m["batches"]):
-            if not self._fs.exists(self._path(p["path"])):
-                raise CorruptLayer(f"{p['path']} is named by version {m['version']} but isn't there")
+        for p in dict.fromkeys(p["path"] for p in (*m["layers"], *m["batches"])):
+            if not self._fs.exists(self._path(p)):
+                raise CorruptLayer(f"{p} is named by version {m['version']} but isn't there")
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -108,7 +108,7 @@ class Store:
         return new
 
     def _retire(self, old: dict, parts: list[dict]) -> list[dict]:
-        return [*old["retired"], *({"path": p["path"], "version": old["version"] + 1} for p in parts)]
+        return [*old["retired"], *({"path": p, "version": old["version"] + 1} for p in dict.fromkeys(p["path"] for p in parts))]
 
     def vacuum(self, keep: int = 0) -> int:
         """Delete the folders that were dropped more than `keep` versions ago, and older manifests; returns the number of folders. Readers and feeds that old then fail."""
@@ -131,14 +131,23 @@ class Store:
 
     def _write(self, df: DataFrame, kind: str, name: str = "") -> str:
         name = f"{kind}/{name or uuid.uuid4().hex}"
-        df.write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.root}/{name}")
+        # without the adaptive size a filter takes 1 MB a file, however few its keys
+        bloom = {} if kind == "staged" else {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        df.write.options(**bloom).parquet(f"{self.root}/{name}")
         return name
 
     def _read(self, parts: list[dict]) -> DataFrame:
-        """All parts as one scan."""
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{p['path']}" for p in parts))
+        """All parts as one scan. A folder that layers share is read by layer number where only some of them are wanted."""
+        folders: dict[str, list[dict]] = {}
+        for p in parts:
+            folders.setdefault(p["path"], []).append(p)
+        scan = lambda names: self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{n}" for n in names))
+        some = {n: ps for n, ps in folders.items() if len(ps) < ps[0].get("sharing", 1)}
+        whole = [n for n in folders if n not in some]
+        frames = [scan([n]).where(f"layer IN ({', '.join(str(p['layer']) for p in ps)})") for n, ps in some.items()]
+        if whole:
+            frames.append(scan(whole))
+        return merge.union_layers(*frames) if frames else self.spark.createDataFrame([], self.schema)
 
     # writes
     def apply(self, changes: DataFrame) -> int:
@@ -212,16 +221,15 @@ class Store:
         return {"entry_count": meta["entry_count"], "smallest_hex": octets(meta["smallest_key"]).hex(), "largest_hex": octets(meta["largest_key"]).hex()}
 
     def ingest(self, entries: DataFrame) -> int:
-        """Commit whole layers, oldest first by `layer`: (seq, op, key, value, layer) with one record for a key in a layer. For a store without data; returns the number of layers."""
+        """Commit whole layers, oldest first by `layer`: (seq, op, key, value, layer) with one record for a key in a layer. For a store without data; returns the number of layers. They share one folder, in the order of layer and key, so that small layers don't cost a file each."""
         old = self.manifest()
         if old["layers"] or old["batches"]:
             raise InvalidInput("layers can be taken in by an empty store only")
-        rows = entries.select(*self.schema.names).withColumn("part", F.col("layer"))
-        name = f"layers/{uuid.uuid4().hex}"
-        rows.repartitionByRange("layer", "key").sortWithinPartitions("layer", "key").write.option("parquet.bloom.filter.enabled#key", "true").partitionBy("part").parquet(f"{self.root}/{name}")
-        meta = self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}")
+        # no partitionBy here: Spark would sort again by the partition column, which loses the order of keys
+        name = self._write(entries.select(*self.schema.names).repartitionByRange("layer", "key").sortWithinPartitions("layer", "key"), "layers")
+        meta = self._read([{"path": name}])
         rows = stats.layer_metadata(meta).orderBy("layer").collect()
-        layers = [{"path": f"{name}/part={r['layer']}", "layer": r["layer"]} | self._range(r) for r in rows]
+        layers = [{"path": name, "layer": r["layer"], "sharing": len(rows)} | self._range(r) for r in rows]
         if layers:
             self._commit(old, layers=layers, next_layer=layers[-1]["layer"] + 1, seq=meta.agg(F.max("seq")).first()[0])
         return len(layers)
@@ -280,7 +288,8 @@ class Store:
         part = next((p for p in self.manifest()["layers"] if p["layer"] == number), None)
         if part is None:
             raise InvalidInput(f"there is no layer {number}")
-        return self.stored(part["path"])
+        rows = self.stored(part["path"])
+        return rows.where(F.col("layer") == number) if "sharing" in part else rows
 
     def stored(self, *paths: str) -> DataFrame:
         rows = self._read([{"path": p} for p in paths])
@@ -299,13 +308,18 @@ class Store:
     def verify(self) -> int:
         """Read every layer and hold it against the manifest: count, key range, layer number and strict key order. Returns the number of layers, or raises CorruptLayer."""
         parts = self.manifest()["layers"]
+        named: dict[str, dict[int, dict]] = {}
         for p in parts:
-            rows = self.stored(p["path"])
-            meta = stats.layer_metadata(rows).collect()
-            if [r["layer"] for r in meta] != [p["layer"]] or self._range(meta[0]) != {k: p[k] for k in ("entry_count", "smallest_hex", "largest_hex")}:
-                raise CorruptLayer(f"layer {p['layer']} doesn't hold what the manifest says")
-            if not stats.unsorted_neighbours(rows).isEmpty():
-                raise CorruptLayer(f"layer {p['layer']} isn't in strict key order")
+            named.setdefault(p["path"], {})[p["layer"]] = {k: p[k] for k in ("entry_count", "smallest_hex", "largest_hex")}
+        for path, want in named.items():
+            rows = self.stored(path)
+            found = {r["layer"]: self._range(r) for r in stats.layer_metadata(rows).collect()}
+            wrong = [n for n in sorted(want.keys() | found.keys()) if want.get(n) != found.get(n)]
+            if wrong:
+                raise CorruptLayer(f"layer {wrong[0]} doesn't hold what the manifest says")
+            wrong = stats.unsorted_neighbours(rows).first()
+            if wrong:
+                raise CorruptLayer(f"layer {wrong['layer']} isn't in strict key order")
         return len(parts)
 
     # the change feed

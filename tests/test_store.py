@@ -351,3 +351,32 @@ def test_command_line(store, tmp_path):
     assert "imported: 1" in say("import", str(tmp_path / "rows.json")) and '"prefix":"","rows":[{"key":"k","value":"2"}]' in say("export") and '"exported_at":"20' in say("export") and say("vacuum").startswith("folders: ")
     with pytest.raises(InvalidInput):
         say("put", "", "x")
+
+
+def test_layers_taken_in_share_a_folder(spark, store):
+    """Many small layers cost neither a file nor a Bloom filter of 1 MB each, and are read one by one, by key and by prefix."""
+    entries = spark.range(600).selectExpr("id AS seq", "tinyint(if(id % 7 = 0, 2, 1)) AS op", "concat('k', id div 20, ':', id % 20) AS key", "if(id % 7 = 0, null, string(id)) AS value", "id div 20 AS layer")
+    assert store.ingest(entries.repartition(5)) == 30
+    folders = {p["path"] for p in store.manifest()["layers"]}
+    files = [f for p in folders for f in store._fs.listStatus(store._path(p)) if f.getPath().getName().endswith(".parquet")]
+    assert len(folders) == 1 and len(files) <= 4 and sum(f.getLen() for f in files) < 1 << 20
+    again = Store(spark, store.root)
+    assert again.verify() == 30 and again.layer(7).count() == 20 and {r["layer"] for r in again.layer(7).collect()} == {7}
+    assert again.changelog(key="k7:3").count() == 20 and again.get("k7:3") == "143" and again.get("k7:0") is None
+    assert [k for k, _ in pairs(again.scan("k7:1"))] == sorted(f"k7:{n}" for n in (1, *range(10, 20)) if (140 + n) % 7)
+    again.put("k7:0", "new")
+    assert again.get("k7:0") == "new" and again.compact()["output_entries"] == 600 - 86 + 1
+    assert again.vacuum() == 3 and again.verify() == 1 and again.get("k7:3") == "143"  # the log, its layer and the shared folder
+
+
+def test_verify_finds_damage_in_a_shared_folder(spark, store):
+    store.ingest(spark.createDataFrame([(1, 1, "a", "1", 1), (2, 1, "b", "2", 1), (3, 1, "a", "3", 2)], store.schema))
+    old = store.manifest()
+    store._commit(old, layers=[old["layers"][0], old["layers"][1] | {"largest_hex": "62"}])
+    with pytest.raises(CorruptLayer, match="layer 2 doesn't hold"):
+        store.verify()
+    rows = store._read(old["layers"]).repartition(1).sortWithinPartitions("layer", F.desc("key"))
+    wrong = store._write(rows, "layers")
+    store._commit(store.manifest(), layers=[p | {"path": wrong} for p in old["layers"]])
+    with pytest.raises(CorruptLayer, match="layer 1 isn't in strict key order"):
+        store.verify()

@@ -341,13 +341,16 @@ class Store:
         """Call sink(events, id) for committed changes, from now on or from after version `since`: a stream over the manifests, so what wasn't committed is never seen. Events are in commit order, at most `at_once` commits go to the sink together, and with a checkpoint each commit is delivered once. A feed that is so late that batches were deleted ends with Lagged."""
         start = self.manifest()["version"] if since is None else since
         versions = self.spark.readStream.option("maxFilesPerTrigger", at_once).text(f"{self.root}/manifests", wholetext=True)
+        # a manifest grows with the layers, so only what a commit added comes to the driver
+        commit = F.from_json("value", "version BIGINT, added ARRAY<STRUCT<path: STRING, entries: BIGINT, bytes: BIGINT>>", {"mode": "FAILFAST"})
+        added = versions.select(commit.alias("m")).select("m.version", "m.added").where((F.col("version") > start) & (F.size("added") > 0))
 
         def batch(rows: DataFrame, k: int) -> None:
-            new = sorted((m for m in (json.loads(r["value"]) for r in rows.collect()) if m["version"] > start and m["added"]), key=lambda m: m["version"])
+            new = sorted((r.asDict(recursive=True) for r in rows.collect()), key=lambda m: m["version"])
             if new:
                 sink(self._changes(new, prefix).orderBy("seq"), k)
 
-        out = versions.writeStream.foreachBatch(batch)
+        out = added.writeStream.foreachBatch(batch)
         if checkpoint:
             out = out.option("checkpointLocation", checkpoint)
         return (out.trigger(availableNow=True) if until_now else out.trigger(processingTime="1 second")).start()

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from stratalog import answers
@@ -11,6 +12,7 @@ from stratalog.functions import hashing
 from stratalog.functions.keys import has_prefix, successor, text_view
 from stratalog.operators import bloom, read
 from stratalog.operators.stats import benchmark_summary
+from stratalog.plans.catalog import QUERIES, SQL
 from stratalog.schema import DELETE, PUT
 from stratalog.sources import snapshot, wal
 from stratalog.sources.store import Store
@@ -380,3 +382,13 @@ def test_verify_finds_damage_in_a_shared_folder(spark, store):
     store._commit(store.manifest(), layers=[p | {"path": wrong} for p in old["layers"]])
     with pytest.raises(CorruptLayer, match="layer 1 isn't in strict key order"):
         store.verify()
+
+
+def test_layers_stand_in_order_on_disk(spark):
+    """With many shuffle partitions a write dealt out by layer sorted again by layer only, which lost the order of keys."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        compare(spark, "verify_sorted", QUERIES["verify_sorted"], SQL["verify_sorted"], "/root/testdata/sf0.1")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

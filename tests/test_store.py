@@ -2,8 +2,9 @@ import random
 import struct
 import zlib
 
+import duckdb
 import pytest
-from oracle import compare
+from oracle import TABLES, compare
 from pyspark.sql import functions as F
 
 from stratalog import answers
@@ -392,3 +393,14 @@ def test_layers_stand_in_order_on_disk(spark):
         compare(spark, "verify_sorted", QUERIES["verify_sorted"], SQL["verify_sorted"], "/root/testdata/sf0.1")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_store_get_gives_a_key_once(spark, tmp_path):
+    """Where user:1 is the least deleted key it is asked for twice, but is one key."""
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    rows = [(0, 0, "click"), (1, 1, "view"), (250, 1, "error"), (251, 2, "error")]
+    events = ", ".join(f"({e}, TIMESTAMP '2024-01-01', {u}, '{k}', 1.0, '')" for e, u, k in rows)
+    duckdb.sql(f"COPY (SELECT e::BIGINT AS event_id, t AS ts, u::BIGINT AS user_id, k AS event_type, v::DOUBLE AS value, p AS props FROM (VALUES {events}) x(e, t, u, k, v, p)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert compare(spark, "store_get", QUERIES["store_get"], SQL["store_get"], str(tmp_path)) == 2

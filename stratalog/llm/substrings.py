@@ -2,12 +2,13 @@
 
 A window is `window` consecutive words, and a repeat is a run of words of at least that length that several documents have. Suffixes that can't be in one are sorted out first: every window has an anchor, the least hash of the short word runs (grams) in it, so equal windows have equal anchors at equal places, and neighbouring windows mostly share theirs. A stretch is the windows of one anchor, and only stretches whose anchor stands in two documents go on. Equal stretches are one leaf with its least document, at which all others have a repeat, so copies of any number cost one row in a tree.
 
-What is left are leaves of one anchor with different words around it. The anchor's gram is the prefix by which their suffixes are dealt out; each group's suffix array, its common prefixes word by word and its internal nodes are built in memory, and the nodes at least a window deep are the repeats: a node's least document keeps its copy. A prefix of too many leaves is made longer: its windows become suffixes of their own, of five symbols of a fifth of the window each, dealt out by as many symbols as it takes to make the groups small.
+What is left are leaves of one anchor with different words around it. The anchor's gram is the prefix by which their suffixes are dealt out; each group's suffix array, its common prefixes word by word and its internal nodes are built in memory, and the nodes at least a window deep are the repeats: a node's least document keeps its copy. A prefix of too many leaves is made longer on both sides: a leaf is cut into pieces, of the windows that have the gram at 0 to 15 words from their start, at 16 to 31, and so on, so that all windows of a piece share more words around the gram, by which the pieces are dealt out. Equal pieces are one again, and the pieces of a prefix that still has too many are halved, down to single windows, which are equal where their prefixes are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,8 +19,7 @@ from stratalog.llm.scratch import Scratch
 
 WINDOW = 50
 GRAM = 8
-SYMBOLS = 5
-#: Leaves of a group and of one anchor; suffixes of symbols of a group and of one prefix before it grows longer.
+#: Leaves of a group and of one anchor; windows of pieces of a group and of one prefix before it grows longer.
 LEAVES, ANCHOR = 1_000, 500
 GROUP, PREFIX = 20_000, 5_000
 
@@ -206,27 +206,40 @@ def _leaf_rows(picked: DataFrame, window: int) -> DataFrame:
     return picked.mapInArrow(run, f"doc {dict(picked.dtypes)['doc']}, th long, start int, anchor long, hot boolean, words array<long>")
 
 
-def _suffix_rows(leaves: DataFrame, window: int) -> DataFrame:
-    """A row of symbols for each window of the leaves."""
-    cuts = [window * k // SYMBOLS for k in range(SYMBOLS + 1)]
+def _piece_rows(leaves: DataFrame, window: int, gram: int, width: int) -> DataFrame:
+    """Each leaf, or piece of one, cut by the place of the anchor's gram in its windows: a piece's windows have it at `width` neighbouring places. `prefix` is a hash of the words that such windows have in common, the gram among them."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for k in range(b.num_rows):
-                hashes = b.column(3)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                words = Words.of(hashes)
-                at = np.arange(len(hashes) - window + 1)
-                sym = [words.stretch(at + x, at + y).view(np.int64) for x, y in zip(cuts, cuts[1:], strict=False)]
-                same = [b.column(c).take(pa.array(np.full(len(at), k))) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array((at + b.column(2)[k].as_py()).astype(np.int32)), *map(pa.array, sym)], ["doc", "th", "pos", *(f"s{j}" for j in range(SYMBOLS))])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                cols: list[list] = [[], [], [], []]
+                words, sizes = [], []
+                for start, anchor, raw in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4), strict=True):
+                    leaf = Words.of(raw.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    n, grams = leaf.n - window + 1, np.arange(leaf.n - gram + 1)
+                    place = int(np.argmax(leaf.stretch(grams, grams + gram).view(np.int64) == anchor))  # the first, as in stretches()
+                    side = (place - np.arange(n)) // width
+                    first = np.flatnonzero(np.concatenate(([True], side[1:] != side[:-1])))
+                    count = np.diff(np.concatenate((first, [n])))
+                    low = side[first] * width
+                    high = np.minimum(low + width - 1, window - gram)
+                    prefix = leaf.stretch(place - low, place - high + window) + _mix(low.astype(np.uint64) + np.uint64(1))
+                    content = leaf.stretch(first, first + count + window - 1) + _mix((place - first).astype(np.uint64) * np.uint64(1 << 20) + count.astype(np.uint64))
+                    for c, g in zip(cols, ((first + start).astype(np.int32), count.astype(np.int32), prefix.view(np.int64), content.view(np.int64)), strict=True):
+                        c.append(g)
+                    words += [leaf.hash[x : x + y + window - 1].view(np.int64) for x, y in zip(first.tolist(), count.tolist(), strict=True)]
+                    sizes.append(len(first))
+                same = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(same) for c in (0, 1, 3)), *(pa.array(np.concatenate(c)) for c in cols), pa.array(words, pa.list_(pa.int64()))], ["doc", "th", "anchor", "start", "count", "prefix", "content", "words"])
 
-    return leaves.select("doc", "th", "start", "words").mapInArrow(run, f"doc {dict(leaves.dtypes)['doc']}, th long, pos int, " + ", ".join(f"s{j} long" for j in range(SYMBOLS)))
+    return leaves.select("doc", "th", "start", "anchor", "words").mapInArrow(run, f"doc {dict(leaves.dtypes)['doc']}, th long, anchor long, start int, count int, prefix long, content long, words array<long>")
 
 
-def _anchor_trees(leaves: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(doc, th, start, count) of the repeats in groups of whole anchors: one tree a group, as windows of different anchors differ."""
+def _trees(leaves: DataFrame, window: int, by: str, buckets: int) -> DataFrame:
+    """(doc, th, start, count) of the repeats in groups of whole anchors or prefixes (`by`): one tree a group, as windows of different ones differ."""
 
     def run(table):
         import pyarrow as pa
@@ -243,39 +256,29 @@ def _anchor_trees(leaves: DataFrame, window: int, buckets: int) -> DataFrame:
         got = table.select(["doc", "th"]).take(pa.array(rows, pa.int64()))
         return got.append_column("start", pa.array(firsts, pa.int32())).append_column("count", pa.array(counts, pa.int32()))
 
-    dealt = leaves.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    dealt = leaves.select("doc", "th", "start", "words", F.pmod(F.xxhash64(by), F.lit(buckets)).alias("bucket"))
     return dealt.groupBy("bucket").applyInArrow(run, f"doc {dict(leaves.dtypes)['doc']}, th long, start int, count int")
 
 
-def _symbol_trees(suffixes: DataFrame, scratch: Scratch, group: int, limit: int) -> DataFrame:
-    """(doc, th, start, count) of windows that a smaller document has too, from suffixes of symbols under variable-length prefixes."""
-    syms = [f"s{j}" for j in range(SYMBOLS)]
-    rows, full = suffixes.withColumn("prefix", F.xxhash64("s0")), None
-    for j in range(1, SYMBOLS + 1):
-        hot = scratch.save(rows.groupBy("prefix").count().where(F.col("count") > limit).select("prefix", F.lit(True).alias("hot")), "hot")
-        if hot.isEmpty():
+def _piece_trees(leaves: DataFrame, scratch: Scratch, window: int, gram: int, group: int, limit: int) -> DataFrame:
+    """(doc, th, start, count) of the repeats of leaves whose anchors have too many of them, from trees of pieces under longer prefixes. Equal windows have equal prefixes at every width, so they stay together."""
+    width, found = 1 << max(0, (window - gram + 1).bit_length() - 2), []
+    while True:
+        cut = scratch.save(_piece_rows(leaves, window, gram, width), "pieces")
+        owners = cut.groupBy("prefix", "content").agg(F.min("doc").alias("owner"))
+        cut = scratch.save(split_join(cut, owners, ["prefix", "content"]), "pieces")
+        found.append(cut.where("doc > owner").select("doc", "th", "start", "count"))
+        if width == 1:  # such a prefix is a whole window, so its pieces are equal: no tree is needed
             break
-        rows = rows.join(hot, "prefix", "left")
-        if j == SYMBOLS:  # such a prefix is a whole window, so its suffixes are one node: no tree is needed
-            full, rows = rows.where("hot").drop("hot"), rows.where("hot IS NULL").drop("hot")
-        else:
-            rows = rows.withColumn("prefix", F.when(F.col("hot"), F.xxhash64("prefix", f"s{j}")).otherwise(F.col("prefix"))).drop("hot")
-
-    def run(table):
-        import pyarrow as pa
-
-        sym, doc = np.column_stack([table[s].to_numpy() for s in syms]), _ranked(table["doc"])
-        order = np.lexsort(sym[:, ::-1].T)
-        differ = sym[order][1:] != sym[order][:-1]
-        common = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), SYMBOLS)))
-        return table.select(["doc", "th", "pos"]).filter(pa.array(least_in_deep_nodes(order, common, doc, SYMBOLS) < doc))
-
-    n = suffixes.count()
-    marks = rows.withColumn("bucket", F.pmod("prefix", F.lit(max(1, -(-n // group))))).groupBy("bucket").applyInArrow(run, f"doc {dict(suffixes.dtypes)['doc']}, th long, pos int")
-    if full is not None:
-        least = full.groupBy(*syms).agg(F.min("doc").alias("m"))
-        marks = marks.unionByName(split_join(full, least, syms).where("m < doc").select("doc", "th", "pos"))
-    return marks.select("doc", "th", F.col("pos").alias("start"), F.lit(1).alias("count"))
+        own = cut.where("doc = owner")
+        sizes = own.groupBy("prefix").agg((F.sum("count") > limit).alias("hot"))
+        own = scratch.save(split_join(own, sizes, "prefix"), "pieces")
+        n = own.where("NOT hot").agg(F.sum("count")).first()[0] or 0
+        found.append(_trees(own.where("NOT hot"), window, "prefix", max(1, -(-n // group))))
+        leaves, width = own.where("hot"), width // 2
+        if leaves.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, leaves: int = LEAVES, anchor: int = ANCHOR, group: int = GROUP, limit: int = PREFIX, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,9 +297,9 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int =
     picked = base.join(places, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "t", "places")
     rows = work.save(_leaf_rows(picked, window), "leaves")
     n = rows.where("NOT hot").count()
-    marks = _anchor_trees(rows.where("NOT hot").drop("hot"), window, max(1, -(-n // leaves)))
+    marks = _trees(rows.where("NOT hot"), window, "anchor", max(1, -(-n // leaves)))
     if not rows.where("hot").isEmpty():
-        marks = marks.unionByName(_symbol_trees(work.save(_suffix_rows(rows.where("hot"), window), "suffixes"), work, group, limit))
+        marks = marks.unionByName(_piece_trees(rows.where("hot"), work, window, gram, group, limit))
     whole = near.where("doc > owner").select("doc", "th", "start", "count")
     out = scratch.save(whole.unionByName(marks).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "count")).alias("places")), "repeats")
     work.delete()

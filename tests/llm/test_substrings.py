@@ -83,6 +83,30 @@ def _unchanged(data):
             yield t
 
 
+@pytest.mark.parametrize("copies", [40, 80])
+def test_near_copies_cost_few_rows(spark, monkeypatch, copies):
+    """Leaves of an anchor that too many near copies share are cut into a few pieces each, not into a row for each window."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    data = []
+    for k in range(copies):
+        ws = list(base)
+        for _ in range(3):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+        data.append((k, " ".join(ws)))
+    rows, save = {}, Scratch.save
+
+    def counted(self, df, name="t"):
+        out = save(self, df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    docs = spark.createDataFrame([(k, t, "x", "s", 0) for k, t in data], DOCS)
+    assert got(substrings.deduplicate(docs, Scratch(spark), anchor=5, group=400, limit=100)) == brute(data)
+    assert max(n for name in rows if name not in ("stretches", "shared", "owned", "leaves") for n in rows[name]) <= 4 * rows["leaves"][0], rows
+
+
 def test_keys_of_other_types(spark):
     text = " ".join(f"w{k}" for k in range(80))
     docs = spark.createDataFrame([("b", text), ("a", text + " end"), ("", "x " + text), (None, text)], "doc_id string, text string")

@@ -65,11 +65,11 @@ def _plain(records, *names):
 
 
 def _store(spark, d):
-    """A store of the events, opened again: all layers but the last on disk, the last one's records as a log batch."""
+    """A store of the events, opened again: all layers but the last on disk, the last one's records as a log batch. Layers keep their numbers, which can have gaps."""
     log, top = _parts(spark, d)
     root = workspace(spark, "store")
     db = Store(spark, root)
-    db.ingest(merge.per_layer(log.where(F.col("layer") < top)))
+    db.ingest(merge.per_layer(log.where(F.col("layer") < top)), next_layer=top)
     db.apply(log.where(F.col("layer") == top))
     return Store(spark, root)
 
@@ -349,7 +349,7 @@ def _(spark, d):
     db = _store(spark, d)
     names = [p["path"] for p in db.manifest()["layers"]]
     wrong = db._write(db.memtable().repartition(1).sortWithinPartitions(F.desc("key")), "layers")
-    return stats.unsorted_neighbours(merge.union_layers(db.stored(*names), db.stored(wrong)))
+    return stats.unsorted_neighbours(db.stored(*names, wrong))
 
 
 # Bloom filters

@@ -220,8 +220,8 @@ class Store:
     def _range(meta) -> dict:
         return {"entry_count": meta["entry_count"], "smallest_hex": octets(meta["smallest_key"]).hex(), "largest_hex": octets(meta["largest_key"]).hex()}
 
-    def ingest(self, entries: DataFrame) -> int:
-        """Commit whole layers, oldest first by `layer`: (seq, op, key, value, layer) with one record for a key in a layer. For a store without data; returns the number of layers. They share one folder, in the order of layer and key, so that small layers don't cost a file each."""
+    def ingest(self, entries: DataFrame, next_layer: int | None = None) -> int:
+        """Commit whole layers, oldest first by `layer`: (seq, op, key, value, layer) with one record for a key in a layer. For a store without data; returns the number of layers. They share one folder, in the order of layer and key, so that small layers don't cost a file each. The next flush gets the number `next_layer`, or one above the last."""
         old = self.manifest()
         if old["layers"] or old["batches"]:
             raise InvalidInput("layers can be taken in by an empty store only")
@@ -230,8 +230,12 @@ class Store:
         meta = self._read([{"path": name}])
         rows = stats.layer_metadata(meta).orderBy("layer").collect()
         layers = [{"path": name, "layer": r["layer"], "sharing": len(rows)} | self._range(r) for r in rows]
-        if layers:
-            self._commit(old, layers=layers, next_layer=layers[-1]["layer"] + 1, seq=meta.agg(F.max("seq")).first()[0])
+        least = layers[-1]["layer"] + 1 if layers else None
+        if layers and next_layer is not None and next_layer < least:
+            self._fs.delete(self._path(name), True)
+            raise InvalidInput("the next layer's number must be above all others")
+        if layers or next_layer is not None:
+            self._commit(old, layers=layers, next_layer=least if next_layer is None else next_layer, seq=meta.agg(F.max("seq")).first()[0] if layers else old["seq"])
         return len(layers)
 
     def compact(self) -> dict:

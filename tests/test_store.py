@@ -404,3 +404,28 @@ def test_store_get_gives_a_key_once(spark, tmp_path):
     events = ", ".join(f"({e}, TIMESTAMP '2024-01-01', {u}, '{k}', 1.0, '')" for e, u, k in rows)
     duckdb.sql(f"COPY (SELECT e::BIGINT AS event_id, t AS ts, u::BIGINT AS user_id, k AS event_type, v::DOUBLE AS value, p AS props FROM (VALUES {events}) x(e, t, u, k, v, p)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     assert compare(spark, "store_get", QUERIES["store_get"], SQL["store_get"], str(tmp_path)) == 2
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, 0, "click"), (1, 1, "view"), (250, 1, "error"), (1000, 2, "view"), (1001, 1, "click"), (1002, 3, "error")],
+    [(0, 0, "click"), (1, 2, "view"), (2, 1, "error"), (3, 1, "view")],
+], ids=["layers 0, 1 and 5", "layer 0 alone"])
+def test_layers_keep_the_numbers_of_the_log(spark, tmp_path, rows):
+    """The last layer's number isn't always one above the layer before, and there may be no layer before it."""
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    events = ", ".join(f"({e}, TIMESTAMP '2024-01-01', {u}, '{k}', 1.0, '')" for e, u, k in rows)
+    duckdb.sql(f"COPY (SELECT e::BIGINT AS event_id, t AS ts, u::BIGINT AS user_id, k AS event_type, v::DOUBLE AS value, p AS props FROM (VALUES {events}) x(e, t, u, k, v, p)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert compare(spark, "verify_sorted", QUERIES["verify_sorted"], SQL["verify_sorted"], str(tmp_path)) == 2
+    for name in ("flush_layer", "store_compact"):
+        compare(spark, name, QUERIES[name], SQL[name], str(tmp_path))
+
+
+def test_taken_in_layers_stay_below_the_next(spark, store):
+    with pytest.raises(InvalidInput, match="must be above"):
+        store.ingest(spark.createDataFrame([(1, 1, "a", "1", 3)], store.schema), next_layer=3)
+    assert not store.versions() and not store._fs.listStatus(store._path("layers"))
+    assert store.ingest(spark.createDataFrame([(1, 1, "a", "1", 3)], store.schema), next_layer=7) == 1
+    store.put("b", "2")
+    assert store.flush()["layer_id"] == 7 and store.verify() == 2
